@@ -6,8 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-from .common import table
+from . import bpe_ac, simhash, token_orc
+from .common import fresh_path, table
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; every operator takes such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def splitting_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens-orc")
+    token_orc.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_orc.digest(spark, path)
+
+
+def op4_bpe_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_ac.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), splitting_pattern())
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +38,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_orc": op3_token_orc,
+    "op4_bpe_aho_corasick": op4_bpe_aho_corasick,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
