@@ -123,6 +123,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     smallest = member.groupBy("label").agg(F.min("first").alias("component_id"))
     linked = reach.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
     of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_class = materialise(of_class, "simhash-components")  # so both sides of the last join are shuffled, and a hot class can be split
     return rows.join(of_class, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
