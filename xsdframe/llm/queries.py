@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_ac, simhash, token_orc
+from . import bpe_ac, packing, simhash, token_orc
 from .common import fresh_path, table
 
 
@@ -33,6 +33,10 @@ def op4_bpe_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_ac.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), splitting_pattern())
 
 
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_orc": op3_token_orc,
     "op4_bpe_aho_corasick": op4_bpe_aho_corasick,
+    "op5_hilbert_packing": op5_hilbert_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
