@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_ac, packing, simhash, token_orc
+from . import bpe_ac, media_mkv, packing, simhash, token_orc
 from .common import fresh_path, table
 
 
@@ -23,6 +23,10 @@ def splitting_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_mkv.digest(media_mkv.store(table(spark, sf_dir, "documents")))
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens-orc")
     token_orc.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -42,6 +46,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_matroska_media": op1_matroska_media,
     "op3_token_orc": op3_token_orc,
     "op4_bpe_aho_corasick": op4_bpe_aho_corasick,
     "op5_hilbert_packing": op5_hilbert_packing,
