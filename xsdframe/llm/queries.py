@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_ac, media_mkv, packing, simhash, token_orc, warc
+from . import bpe_ac, chat, media_mkv, packing, simhash, token_orc, warc
 from .common import fresh_path, table
 
 
@@ -41,6 +41,11 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.format(rows, vocabulary("byte_bpe_50k.json"))).drop("n_tokens")
+
+
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -54,11 +59,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_orc": op3_token_orc,
     "op4_bpe_aho_corasick": op4_bpe_aho_corasick,
     "op5_hilbert_packing": op5_hilbert_packing,
+    "op6_chat_masks": op6_chat_masks,
     "op7_warc_salvage": op7_warc_salvage,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # A user or assistant turn has 16 or 10 characters of control strings around it, a system turn 18, another 31
+    # and its role; each backslash and each control string inside is escaped by one character.
+    "op6_chat_masks": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        t AS (
+            SELECT *, length(regexp_replace(text, '\\|\[/?(?:INST|ROLE|TEXT)\]|<</?SYS>>|</?s>', '_\0', 'g')) AS escaped,
+                   CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 WHEN 'system' THEN 18 ELSE 31 + length(role) END AS marks
+            FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(escaped + marks) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op7_warc_salvage": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
