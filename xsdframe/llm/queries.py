@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_ac, chat, langid, media_mkv, packing, simhash, token_orc, warc
+from . import bpe_ac, chat, langid, media_mkv, packing, quality, simhash, token_orc, warc
 from .common import fresh_path, table
 
 
@@ -50,6 +50,11 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_packing": op5_hilbert_packing,
     "op6_chat_masks": op6_chat_masks,
     "op7_warc_salvage": op7_warc_salvage,
+    "op8_quality_attention": op8_quality_attention,
     "op9_language_bitmask": op9_language_bitmask,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
