@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_ac, chat, langid, media_mkv, packing, quality, simhash, token_orc, warc
+from . import bpe_ac, chat, langid, media_mkv, packing, projections, quality, simhash, token_orc, warc
 from .common import fresh_path, table
 
 
@@ -27,6 +27,10 @@ def op1_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mkv.digest(media_mkv.store(table(spark, sf_dir, "documents")))
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens-orc")
     token_orc.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -66,6 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_media": op1_matroska_media,
+    "op2_collision_counting": op2_collision_counting,
     "op3_token_orc": op3_token_orc,
     "op4_bpe_aho_corasick": op4_bpe_aho_corasick,
     "op5_hilbert_packing": op5_hilbert_packing,
@@ -77,6 +82,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_collision_counting": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+        u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v
+              WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(e, x -> x <> 0)) > 0),
+        l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+                AND list_dot_product(p.e, q.e) / (p.n * q.n) >= 0.95),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)""",
     # A user or assistant turn has 16 or 10 characters of control strings around it, a system turn 18, another 31
     # and its role; each backslash and each control string inside is escaped by one character.
     "op6_chat_masks": r"""
