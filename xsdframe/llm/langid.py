@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, pick
+from .common import map_slices, materialise, pick
 
 #: Documents learned from, least share of a language's n-grams, characters of an n-gram.
 SAMPLE, LEAST_SHARE, N = 8000, 2e-5, 4
@@ -139,12 +139,23 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """At most `sample` rows: those with the smallest hashes of doc_id. Only hashes are
+    sorted, so no text is shuffled, unless one id repeats so often that a limit is needed."""
+    hashed = rows.withColumn("_h", F.xxhash64("doc_id"))
+    least = hashed.select("_h").orderBy("_h").limit(sample).agg(F.max("_h").alias("cut")).first().cut
+    if least is None:
+        return rows.limit(0)
+    small = hashed.where(F.col("_h") <= least)
+    return (small if small.select("_h").count() <= sample else small.limit(sample)).drop("_h")
+
+
 def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", sample: int = SAMPLE, least: float = LEAST_SHARE) -> Model:
     """Learn from at most `sample` of the documents that are not held out and have a language.
     The driver gets at most 1 / least n-grams of each language."""
     rows = pick(docs, id, text, lang).toDF("doc_id", "text", "lang")
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(sample).select("text", "lang")
+    picked = _sampled(rows, sample).select("text", "lang")
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         names, codes = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
@@ -157,6 +168,7 @@ def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "la
         return pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1]), pa.array(cols[2].astype(np.int64))], ["lang", "gram", "n"])
 
     counts = map_slices(picked, "text", count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "langid")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.where("n > 1").join(total, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= least)
     peaks = shares.groupBy("gram").agg(F.max("share").alias("peak"))
