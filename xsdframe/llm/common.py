@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that the JVM puts in one Arrow batch at most; long texts then
 #: cannot make a batch of many gigabytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-#: Bytes of text that Python code works on at once.
-SLICE_BYTES = 2 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Bytes of text that Python code works on at once: array operations hold some 60 bytes for
+#: each, so operators that keep several arrays take HALF_SLICE.
+SLICE_BYTES, HALF_SLICE = 1 << 20, 1 << 19
 
 _LOCAL_DIRS: dict[str, str] = {}
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, pick
+from .common import HALF_SLICE, map_slices, materialise, pick, slices, tune
 
 #: Documents learned from, least share of a language's n-grams, characters of an n-gram.
 SAMPLE, LEAST_SHARE, N = 8000, 2e-5, 4
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "la
         cols = [np.concatenate(c) for c in zip(*out)]
         return pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1]), pa.array(cols[2].astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = map_slices(picked, "text", count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_slices(picked, "text", count, "lang string, gram long, n long", HALF_SLICE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "langid")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.where("n > 1").join(total, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= least)
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
 
     rows = pick(docs, id, text).toDF("doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_slices(rows, "text", work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_slices(rows, "text", work, "doc_id long, held_out boolean, lang_pred string, score double", HALF_SLICE)
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
@@ -199,14 +199,10 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
     at = docs.columns.index(text)
 
     def run(batches):
-        from .common import slices
-
         for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
+            for part in slices(batch, batch.schema.names[at], HALF_SLICE):
                 names, share = held.value.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array((np.array(names, object) != UNDETERMINED) & (share >= least)))
 
-    from .common import tune
-
     tune(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

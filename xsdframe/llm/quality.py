@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, pick
+from .common import HALF_SLICE, map_slices, pick, slices, tune
 from .langid import held_out
 
 #: Labelled documents learned from, bytes of a passage, hidden units, attention units.
@@ -197,7 +197,7 @@ def fit(
         held = [x[a:b].astype(np.float16).tobytes() for a, b in zip(ends - count, ends)]
         return pa.record_batch([pa.array(held, pa.binary()), part.column(1)], ["x", "y"])
 
-    found = map_slices(chosen, "text", work, "x binary, y double").collect()
+    found = map_slices(chosen, "text", work, "x binary, y double", HALF_SLICE).collect()
     bags = [np.frombuffer(bytes(r.x), np.float16).astype(np.float32).reshape(-1, WIDTH) for r in found]
     x = np.vstack(bags) if bags else np.zeros((0, WIDTH), np.float32)
     return learn(x, np.array([len(b) for b in bags], np.int64), np.array([float(r.y > 0) for r in found]))
@@ -215,19 +215,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
 
     rows = pick(docs, id, text).toDF("doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return map_slices(rows, "text", work, "doc_id long, held_out boolean, score double, predicted int")
+    return map_slices(rows, "text", work, "doc_id long, held_out boolean, score double, predicted int", HALF_SLICE)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, all columns kept, whose text scores `threshold` at least."""
-    from .common import slices, tune
-
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
+            for part in slices(batch, batch.schema.names[at], HALF_SLICE):
                 score = held.value.scores(*passages(part.column(at).cast(pa.binary()).to_pylist()))
                 yield part.filter(pa.array(score >= threshold))
 

@@ -102,7 +102,7 @@ class SpanEncoder:
         encode_words: Callable[[list[str]], list[list[int]]],
         encode_text: Callable[[str], list[int]],
         lower: bool = False,
-        most: int = 400_000,
+        most: int = 200_000,
     ):
         self.encode_words, self.encode_text, self.lower, self.most = encode_words, encode_text, lower, most
         self._clear()
@@ -223,7 +223,7 @@ class SpanEncoder:
 
 
 #: Characters of a text that are split at once.
-CUT = 1 << 20
+CUT = 1 << 19
 
 
 def cut(text: str, most: int = CUT) -> list[str]:
