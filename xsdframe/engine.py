@@ -83,7 +83,7 @@ def safe_parse_xml(df: DataFrame, column: str, plan: Plan, into: str = "doc", is
 def parse_xml(df: DataFrame, column: str, plan: Plan, into: str = "doc") -> DataFrame:
     """df with the typed value; a violation fails the query and names the first one."""
     out = safe_parse_xml(df, column, plan, into, "_issues")
-    first = F.col("_issues")[0]
+    first = F.get("_issues", F.lit(0))
     told = F.concat(first["path"], F.lit(": "), first["message"])
     return out.withColumn(into, F.when(F.size("_issues") > 0, F.raise_error(told)).otherwise(F.col(into))).drop("_issues")
 
@@ -98,4 +98,7 @@ def validate(df: DataFrame, column: str, plan: Plan, keep: Iterable[str] = ()) -
 def to_xml(df: DataFrame, column: str, plan: Plan, into: str = "xml", raw: str | None = None) -> DataFrame:
     """df with the XML text of a typed column. raw: the strings that safe_parse_xml kept; a
     value that still means the same is then written as it stood."""
-    return df.withColumn(into, Writer(plan.root, plan.slot).document(F.col(column), F.col(raw)["doc"] if raw else None))
+    text = Writer(plan.root, plan.slot).document(F.col(column), F.col(raw)["doc"] if raw else None)
+    # One row each; the optimizer does not move a generator's result into a later parse's
+    # Python call, whose arguments cannot hold the writer's lambda expressions.
+    return df.withColumn(into, F.explode(F.array(text)))

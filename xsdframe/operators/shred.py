@@ -147,7 +147,8 @@ def shredder(root: str, slot: Slot):
     def shred(xml: pa.Array) -> pa.Array:
         return pa.array([shred_one(x, root, slot) for x in xml.to_pylist()], kind)
 
-    return shred
+    # So the optimizer never copies the call into each expression that uses its result.
+    return shred.asNondeterministic()
 
 
 def shred(xml: Column, root: str, slot: Slot) -> Column:

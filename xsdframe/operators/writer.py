@@ -170,5 +170,5 @@ def _replayed(b: Column) -> Column:
     found = lambda o: F.filter(parts, lambda x: (x["key"] == o["key"]) & (x["index"] == o["index"]))
     fits = (F.size(parts) == F.size(order)) & F.forall(order, lambda o: F.size(found(o)) == 1)
     plain = F.transform(parts, lambda x: x["xml"])
-    replay = F.transform(order, lambda o: found(o)[0]["xml"])
+    replay = F.transform(order, lambda o: F.get(found(o), F.lit(0))["xml"])
     return F.array_join(F.when(F.coalesce(fits, F.lit(False)), replay).otherwise(plain), "")
