@@ -73,7 +73,8 @@ def safe_parse_xml(df: DataFrame, column: str, plan: Plan, into: str = "doc", is
     out = df.withColumn(held, plan.shred(F.col(column)))
     value = plan.typed(F.col(held))
     if validate:
-        out = out.withColumn(issues, plan.issues(F.col(held)))
+        # A generator of one row: else each field that is taken from the value would check anew.
+        out = out.withColumn(issues, F.explode(F.array(plan.issues(F.col(held)))))
         out = out.withColumn(into, F.when(F.size(issues) == 0, value))
     else:
         out = out.withColumn(into, value)

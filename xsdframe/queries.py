@@ -39,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is read by fewer tasks than there are cores, dealt to all of them:
+    parsing costs far more than a shuffle of a small table. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def plan(root: str, **options) -> engine.Plan:
     return engine.compile(engine.load_xsd(SALES), root, **options)
 
@@ -74,7 +81,7 @@ def orders_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order", F.concat(at("id", F.col("o_orderkey")), at("status", F.col("o_orderstatus")), at("priority", F.col("o_orderpriority"))),
         txt("custkey", F.col("o_custkey")), txt("total", money("o_totalprice")), txt("date", day),
     )
-    return table(spark, sf_dir, "orders").select(xml.alias("xml"))
+    return spread(table(spark, sf_dir, "orders")).select(xml.alias("xml"))
 
 
 ORDER_COLUMNS = ["doc.`@id` AS id", "doc.`@status` AS status", "doc.`@priority` AS priority", "doc.`@version` AS version", "doc.custkey AS custkey", "doc.total AS total", "doc.date AS day"]
@@ -157,7 +164,7 @@ def absent_empty_nil(spark, sf_dir):
     segment = F.when(k % 4 == 0, "").when(k % 4 == 1, "<segment/>").otherwise(txt("segment", F.col("c_mktsegment")))
     nil = '<balance xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:nil="true"/>'
     balance = F.when(k % 3 == 0, txt("balance", money("c_acctbal"))).when(k % 3 == 1, nil).otherwise("")
-    xml = table(spark, sf_dir, "customer").select(doc("customer", at("key", k), txt("name", F.col("c_name")), segment, balance).alias("xml"))
+    xml = spread(table(spark, sf_dir, "customer")).select(doc("customer", at("key", k), txt("name", F.col("c_name")), segment, balance).alias("xml"))
     return engine.safe_parse_xml(xml, "xml", plan("customer")).selectExpr("doc.`@key` AS k", "doc.segment AS segment", "doc.balance AS balance", "doc.balance__nil AS is_nil")
 
 
@@ -168,7 +175,7 @@ def escaped_text(spark, sf_dir):
     safe = F.coalesce(F.col("text"), F.lit(""))
     cdata = F.concat(F.lit("<![CDATA["), F.replace(safe, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
     body = F.when(F.col("doc_id") % 2 == 0, escape_text(safe)).otherwise(cdata)
-    xml = table(spark, sf_dir, "documents").select(doc("customer", at("key", F.col("doc_id")), el("name", body)).alias("xml"))
+    xml = spread(table(spark, sf_dir, "documents")).select(doc("customer", at("key", F.col("doc_id")), el("name", body)).alias("xml"))
     return engine.safe_parse_xml(xml, "xml", plan("customer")).selectExpr("doc.`@key` AS k", "doc.name AS text")
 
 
@@ -179,7 +186,7 @@ def ns_resolution(spark, sf_dir):
     k = F.col("c_custkey")
     right = F.concat(F.lit(f'<q:customer xmlns:q="{NS}"'), at("key", k), F.lit(">"), txt("q:name", F.col("c_name")), F.lit("</q:customer>"))
     wrong = F.concat(F.lit("<customer"), at("key", k), F.lit(">"), txt("name", F.col("c_name")), F.lit("</customer>"))
-    xml = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(k % 2 == 0, right).otherwise(wrong).alias("xml"))
+    xml = spread(table(spark, sf_dir, "customer")).select("c_custkey", "c_name", F.when(k % 2 == 0, right).otherwise(wrong).alias("xml"))
     got = engine.safe_parse_xml(xml, "xml", plan("customer"))
     return got.select(F.col("c_custkey").alias("k"), F.coalesce("doc.name", "c_name").alias("name"), F.get("_issues", F.lit(0))["channel"].alias("channel"))
 
@@ -283,7 +290,7 @@ def list_and_union(spark, sf_dir):
     """Lists split at white space; of a union the first member that suits."""
     either = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("x"), F.col("p_size").cast("string")))
     spaced = F.concat(F.lit(" "), F.replace("p_type", F.lit(" "), F.lit("\n  ")), F.lit(" "))
-    xml = table(spark, sf_dir, "part").select(doc("words", at("key", F.col("p_partkey")), txt("list", spaced), txt("either", either)).alias("xml"))
+    xml = spread(table(spark, sf_dir, "part")).select(doc("words", at("key", F.col("p_partkey")), txt("list", spaced), txt("either", either)).alias("xml"))
     return engine.safe_parse_xml(xml, "xml", plan("words")).selectExpr(
         "doc.`@key` AS k", "doc.either.member AS member", "doc.either.m0 AS number", "size(doc.list) AS items", "doc.list[0] AS first"
     )
@@ -296,7 +303,7 @@ def parts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = doc(
         "part", at("key", F.col("p_partkey")), txt("brand", F.col("p_brand")), txt("name", F.col("p_name")), txt("size", F.col("p_size")), txt("price", money("p_retailprice"))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", xml.alias("xml"))
 
 
 PART_RULES = """
@@ -339,7 +346,7 @@ def choice_exactly_one(spark, sf_dir):
     k = F.col("c_custkey")
     both = "<street>a</street><city>b</city>"
     parts = [F.when(k % 2 == 0, "<mail>m</mail>").otherwise(""), F.when(k % 3 == 0, "<phone>p</phone>").otherwise(""), F.when((k % 5).isin(0, 1), both).when(k % 5 == 2, "<city>b</city>").otherwise("")]
-    return valid_of(spark, table(spark, sf_dir, "customer").select("c_custkey", doc("contact", at("key", k), *parts).alias("xml")), "c_custkey", "contact")
+    return valid_of(spark, spread(table(spark, sf_dir, "customer")).select("c_custkey", doc("contact", at("key", k), *parts).alias("xml")), "c_custkey", "contact")
 
 
 @query("SELECT c_custkey AS k, c_custkey % 4 <> 0 AS ok FROM customer")
@@ -347,7 +354,7 @@ def choice_repeated(spark, sf_dir):
     """A repeated choice needs at least one branch."""
     k = F.col("c_custkey")
     parts = F.concat(F.repeat(F.lit("<a>1</a>"), (k % 2).cast("int")), F.repeat(F.lit("<b>2</b>"), F.floor(k / 2).cast("int") % 2))
-    return valid_of(spark, table(spark, sf_dir, "customer").select("c_custkey", doc("bag", at("key", k), parts).alias("xml")), "c_custkey", "bag")
+    return valid_of(spark, spread(table(spark, sf_dir, "customer")).select("c_custkey", doc("bag", at("key", k), parts).alias("xml")), "c_custkey", "bag")
 
 
 @query("""
@@ -357,7 +364,7 @@ def choice_nested(spark, sf_dir):
     """A choice in a branch of a choice."""
     k = F.col("c_custkey")
     parts = [F.when(k % n == 0, f"<{e}>x</{e}>").otherwise("") for n, e in ((2, "plain"), (3, "head"), (5, "left"), (7, "right"))]
-    return valid_of(spark, table(spark, sf_dir, "customer").select("c_custkey", doc("nested", at("key", k), *parts).alias("xml")), "c_custkey", "nested")
+    return valid_of(spark, spread(table(spark, sf_dir, "customer")).select("c_custkey", doc("nested", at("key", k), *parts).alias("xml")), "c_custkey", "nested")
 
 
 @query("""
@@ -378,7 +385,7 @@ def wildcard_sweep(spark, sf_dir):
     """Elements and attributes that no field takes are kept."""
     k = F.col("event_id")
     note = F.when(k % 2 == 0, "<x:note xmlns:x='urn:x'>a b</x:note>").otherwise("")
-    xml = table(spark, sf_dir, "events").select(doc("event", F.concat(at("id", k), at("kind", F.col("event_type"))), txt("user", F.col("user_id")), note).alias("xml"))
+    xml = spread(table(spark, sf_dir, "events")).select(doc("event", F.concat(at("id", k), at("kind", F.col("event_type"))), txt("user", F.col("user_id")), note).alias("xml"))
     got = engine.safe_parse_xml(xml, "xml", plan("event"))
     extra = F.from_json("doc._extra.json", "map<string,string>")
     return got.select(F.col("doc.`@id`").alias("k"), F.col("doc.user").alias("user"), extra["@{}kind"].alias("kind"), extra["{urn:x}note"].alias("note"))
@@ -395,7 +402,7 @@ def polymorphic_dispatch(spark, sf_dir):
     party = F.when(k % 3 == 0, el("buyer", F.concat(name, txt("segment", F.col("c_mktsegment"))))).when(
         k % 3 == 1, el("seller", F.concat(name, txt("nation", F.col("c_nationkey"))))).otherwise(el("party", name))
     agent = F.when(k % 2 == 0, el("agent", F.concat(name, F.lit("<segment>s</segment><rank>7</rank>")), f' xmlns:t="{NS}" xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:type="t:KeyBuyer"')).otherwise(el("agent", name))
-    xml = table(spark, sf_dir, "customer").select(doc("deal", at("key", k), party, agent).alias("xml"))
+    xml = spread(table(spark, sf_dir, "customer")).select(doc("deal", at("key", k), party, agent).alias("xml"))
     p = plan("deal")
     once = engine.safe_parse_xml(xml, "xml", p).select("doc")
     again = engine.safe_parse_xml(engine.to_xml(once, "doc", p), "xml", p)
@@ -417,7 +424,7 @@ def document_order(spark, sf_dir):
     k = F.col("c_custkey")
     parts = F.when(k % 2 == 0, "<a>1</a><b>2</b><a>3</a>").otherwise("<b>2</b><a>1</a><a>3</a>")
     p = plan("bag")
-    got = engine.safe_parse_xml(table(spark, sf_dir, "customer").select(doc("bag", at("key", k), parts).alias("xml")), "xml", p)
+    got = engine.safe_parse_xml(spread(table(spark, sf_dir, "customer")).select(doc("bag", at("key", k), parts).alias("xml")), "xml", p)
     seen = F.array_join(F.transform("doc._order", lambda o: F.concat(o["key"], o["index"].cast("string"))), " ")
     written = F.array_join(F.regexp_extract_all("out", F.lit(r">(\d)<"), F.lit(1)), ",")
     return engine.to_xml(got, "doc", p, "out").select(F.col("doc.`@key`").alias("k"), seen.alias("seen"), written.alias("written"))
@@ -427,7 +434,7 @@ def document_order(spark, sf_dir):
 def mixed_text(spark, sf_dir):
     """Text between elements is joined."""
     k = F.col("c_custkey")
-    xml = table(spark, sf_dir, "customer").select(doc("text", at("key", k), escape_text(F.col("c_name")), F.lit(" in "), txt("em", F.col("c_mktsegment")), F.lit(" here")).alias("xml"))
+    xml = spread(table(spark, sf_dir, "customer")).select(doc("text", at("key", k), escape_text(F.col("c_name")), F.lit(" in "), txt("em", F.col("c_mktsegment")), F.lit(" here")).alias("xml"))
     return engine.safe_parse_xml(xml, "xml", plan("text")).selectExpr("doc.`@key` AS k", "doc._text AS text", "doc.em[0] AS em")
 
 

@@ -3,6 +3,7 @@ package has the source and a sink that keeps bad documents apart."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,13 +13,11 @@ from ..engine import Plan, safe_parse_xml
 
 def read_documents(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """A stream of (path, xml): whole files as they arrive, decoded by their own encoding."""
-    import pandas as pd
-
     from ..sources.xmltree import decode_xml
 
-    @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: decode_xml(bytes(b)))
+    @F.arrow_udf("string")
+    def decoded(content: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else decode_xml(b) for b in content.to_pylist()], pa.string())
 
     files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).schema(
         "path string, modificationTime timestamp, length long, content binary"
