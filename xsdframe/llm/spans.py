@@ -256,13 +256,17 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(hidden)}
 
 
-_LOADED: dict[tuple[str, bool], SpanEncoder] = {}
+_LOADED: dict[tuple[str, bool, int], SpanEncoder] = {}
 
 
-def tokenizer_encoder(path: str, lower: bool) -> SpanEncoder:
+#: Pre-tokens remembered by default, and by tasks that hold little else.
+FEW, MANY = 200_000, 400_000
+
+
+def tokenizer_encoder(path: str, lower: bool, most: int = FEW) -> SpanEncoder:
     """The encoder of a byte-level tokenizers file, one for each Python process, so pre-tokens
     met by earlier tasks are known. Strings of special tokens in a text are ordinary text."""
-    key = (path, lower)
+    key = (path, lower, most)
     if key not in _LOADED:
         from tokenizers import Tokenizer
 
@@ -273,6 +277,7 @@ def tokenizer_encoder(path: str, lower: bool) -> SpanEncoder:
             lambda words: [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words],
             lambda text: tok.encode(text, add_special_tokens=False).ids,
             lower,
+            most,
         )
     return _LOADED[key]
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, pick, slices, tune
-from .spans import tokenizer_encoder
+from .spans import MANY, tokenizer_encoder
 
 SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
@@ -30,9 +30,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, text: str = "text"
     and empty texts have the end id only; repeated rows are encoded as often as they occur."""
 
     def run(batches):
-        encoder, done = tokenizer_encoder(tokenizer, False), 0
+        encoder, done = tokenizer_encoder(tokenizer, False, MANY), 0
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", 2 * SLICE_BYTES):
                 ids, count = encoder.encode(part.column(1).to_pylist())
                 count = count + 1
                 ends = np.cumsum(count)
