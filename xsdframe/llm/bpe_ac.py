@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, pick
-from .spans import SpanEncoder
+from .common import SLICE_BYTES, map_slices, pick
+from .spans import MANY, SpanEncoder
 
 #: Token pairs whose agreement is remembered; beyond, the memory starts anew.
 PAIRS = 1_000_000
@@ -119,6 +119,7 @@ def loaded(path: str, pattern: str) -> tuple[AhoBpe, SpanEncoder]:
         _LOADED[key] = bpe, SpanEncoder(
             lambda words: [bpe.encode(w.encode()) for w in words],
             lambda text: [i for m in split.finditer(text) for i in bpe.encode(m[0].encode())],
+            most=MANY,
         )
     return _LOADED[key]
 
@@ -169,4 +170,4 @@ def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str
         )
 
     rows = pick(docs, id, text).toDF("doc_id", "text").select(F.col("doc_id"), F.col("text"))
-    return map_slices(rows, "text", work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(rows, "text", work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 2 * SLICE_BYTES)
