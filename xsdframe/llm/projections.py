@@ -1,7 +1,7 @@
 """Near-duplicate vectors by collision counting over one-dimensional projections.
 
-Unit vectors are projected on many random lines and each line is sorted. Two vectors
-collide on a line if one lies in the window of half-width w around the other. The
+Unit vectors are projected on many random lines. Two vectors collide on a line if one
+lies in the window of half-width w around the other. The
 projections of a pair at the threshold differ by a normal variable whose deviation is
 their distance, so the number of collisions over LISTS lines is binomial; the count that
 a pair must reach is calibrated for MISS_COUNT, and pairs that reach it are verified by
@@ -9,10 +9,11 @@ cosine in double precision.
 
 Counting the collisions of all pairs is quadratic in all cases: on a single line a window
 that holds nearly all near pairs holds a third of all others. So pairs are first brought
-together by groups of sorted lines cut at zero: `bits` lines at once make a cell, `tables`
-such groups are enough that a pair at the threshold shares a cell with all but MISS_CELL
-probability (closer pairs miss far less), and windows are counted among the vectors of a
-cell. bits grows with the logarithm of the number of vectors, so cells stay small.
+together by groups of lines cut at zero (random hyperplanes): `bits` lines at once make a
+cell, `tables` such groups are enough that a pair at the threshold shares a cell with all
+but MISS_CELL probability (closer pairs miss far less). No line is sorted: within a cell
+the collisions of each pair are counted on all LISTS lines. bits grows with the logarithm
+of the number of vectors, so cells stay small.
 
 A cell of more than BLOCK vectors (a large group of near copies) is cut into chunks, and
 each pair of chunks is a task's work of its own. Links are counted where they are found,
