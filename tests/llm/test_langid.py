@@ -47,6 +47,20 @@ def test_held_out_accuracy(spark):
     print("lowest scores", scores[:10])
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the cat sat there with number{k}", "en") for k in range(400)]
+    rows += [(1000 + k, "der hund sitzt dort auf dem sofa", "de") for k in range(4)] + [(2000, "un chien dort ici", "fr"), (2001, "gatto nero", "it")]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert {r[2] for r in learned} == {"en", "de", "fr", "it"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = langid._sampled(df, 20).collect()
+    assert len(picked) == 26 and sum(r.lang == "en" for r in picked) == 20
+    model = langid.fit(df, sample=20)
+    assert model.languages == ["de", "en", "fr", "it"]
+    texts = ["der hund sitzt dort auf dem sofa", "the cat sat there", "un chien dort ici", "gatto nero"]
+    assert model.predict(texts)[0] == ["de", "en", "fr", "it"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", 0), (2, "", "en", 0), (3, "the 12", None, 0), (4, "the cat sat there", "en", 0), (5, "der hund sitzt dort", "de", 0), (None, "the cat", "en", 0), (4, "the cat sat there", "en", 0)]
     df = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string, Lang int")

@@ -5,9 +5,9 @@ whose entries are bit masks of languages, so looking an n-gram up in all languag
 few table reads joined by AND. Per-language popcounts over a text's n-grams, corrected
 for the false positives that each filter's filling implies, decide.
 
-Learning counts n-grams over a bounded sample of labelled documents (SAMPLE, by a hash of
-the id) and keeps those that make up at least LEAST_SHARE of a language's (so at most
-1 / LEAST_SHARE of them) and are not far more typical of another. Predictions see nothing but the text.
+Learning counts n-grams over a bounded sample of each language's labelled documents (SAMPLE,
+by a hash of the id) and keeps those that make up at least LEAST_SHARE of a language's (so at
+most 1 / LEAST_SHARE of them) and are not far more typical of another. Predictions see nothing but the text.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HALF_SLICE, map_slices, materialise, pick, slices, tune
 
-#: Documents learned from, least share of a language's n-grams, characters of an n-gram.
+#: Documents of a language learned from, least share of a language's n-grams, characters of an n-gram.
 SAMPLE, LEAST_SHARE, N = 8000, 2e-5, 4
 #: Entries of the table (a power of two) and reads of a lookup.
 TABLE_BITS, READS = 19, 3
@@ -140,18 +140,22 @@ def held_out(id: Column) -> Column:
 
 
 def _sampled(rows: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` rows: those with the smallest hashes of doc_id. Only hashes are
-    sorted, so no text is shuffled, unless one id repeats so often that a limit is needed."""
+    """At most `sample` rows of each lang: those with the smallest hashes of doc_id (rows that
+    repeat the last of these ids come along). Only hashes are shuffled, no text, and only those
+    of small value are sorted: about 1.5 times `sample`, and 100, of a lang."""
     hashed = rows.withColumn("_h", F.xxhash64("doc_id"))
-    least = hashed.select("_h").orderBy("_h").limit(sample).agg(F.max("_h").alias("cut")).first().cut
-    if least is None:
-        return rows.limit(0)
-    small = hashed.where(F.col("_h") <= least)
-    return (small if small.select("_h").count() <= sample else small.limit(sample)).drop("_h")
+    ids = hashed.groupBy("lang").agg(F.approx_count_distinct("_h").alias("ids"))
+    place = F.col("_h") / F.lit(2.0**64) + 0.5
+    small = hashed.select("lang", "_h").join(F.broadcast(ids), "lang").where(place * F.col("ids") <= 1.5 * sample + 100)
+    small = small.groupBy("lang", "_h").count()
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = small.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < sample)
+    cuts = cuts.groupBy("lang").agg(F.max("_h").alias("cut"))
+    return hashed.join(F.broadcast(cuts), "lang").where("_h <= cut").drop("_h", "cut")
 
 
 def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", sample: int = SAMPLE, least: float = LEAST_SHARE) -> Model:
-    """Learn from at most `sample` of the documents that are not held out and have a language.
+    """Learn from at most `sample` documents of each language that are not held out.
     The driver gets at most 1 / least n-grams of each language."""
     rows = pick(docs, id, text, lang).toDF("doc_id", "text", "lang")
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -170,7 +174,7 @@ def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "la
     counts = map_slices(picked, "text", count, "lang string, gram long, n long", HALF_SLICE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "langid")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.where("n > 1").join(total, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= least)
+    shares = counts.join(total, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= least)
     peaks = shares.groupBy("gram").agg(F.max("share").alias("peak"))
     typical = shares.join(peaks, "gram").where(F.col("share") >= TYPICAL * F.col("peak")).select("lang", "gram")
     chosen: dict[str, list[int]] = {r.lang: [] for r in total.select("lang").collect()}
