@@ -45,6 +45,12 @@ def test_repeated_words_show():
     assert abs(x[0][q.KINDS + q.PAIRS + 1] - 2 / 6) < 1e-6 and x[1][q.KINDS + q.PAIRS + 1] == 1
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = [b"ab", b"c", None, b"ab", b"words of a passage " * 60, b"z"]
+    together, _ = q.passages(texts)
+    assert (together == np.vstack([q.passages([t])[0] for t in texts])).all()
+
+
 def test_held_out_ranking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

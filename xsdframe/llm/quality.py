@@ -69,7 +69,8 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     held = np.maximum(np.bincount(passage, minlength=total), 1)[:, None]
     kinds = np.bincount(passage * KINDS + _KIND[data], minlength=total * KINDS).reshape(total, KINDS)
     pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 17) % 8191 % PAIRS
-    pairs = np.bincount(passage[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS)
+    within = owner[1:] == owner[:-1]  # both bytes are of one text
+    pairs = np.bincount((passage[:-1] * PAIRS + pair)[within], minlength=total * PAIRS).reshape(total, PAIRS)
 
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     starts = ~blank
