@@ -34,6 +34,14 @@ def test_salvage_skips_damage_only(gz):
     assert list(warc.salvage(b"")) == []
 
 
+def test_records_longer_than_one_step_are_read(monkeypatch):
+    whole = b"".join(warc.member(raw(k, bytes([65 + k]) * 5000)) for k in range(3))
+    monkeypatch.setattr(warc, "RECORD_BYTES", 1000)
+    found = list(warc.salvage(whole))
+    assert [(len(f.payload()), f.reason) for f in found] == [(5000, "")] * 3
+    assert [f.reason for f in warc.salvage(whole[:-9])][2:] == ["gzip member does not end"]
+
+
 def test_changed_payload_is_quarantined_but_the_next_record_is_read():
     a, b = raw(1), raw(2)
     found = list(warc.salvage(a.replace(b"payload payload", b"payLoad payload", 1) + b))

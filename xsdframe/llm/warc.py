@@ -27,7 +27,7 @@ LEAST = 100
 SALTS = 32
 #: Bytes of an archive, about; more in it go to the next. A reader holds one at a time.
 ARCHIVE_BYTES = 8 << 20
-#: Bytes of one record that the reader will unpack at most.
+#: Bytes of a gzip member that the reader unpacks at once; longer ones take several steps.
 RECORD_BYTES = 1 << 30
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -115,13 +115,18 @@ def _plain(data: bytes, at: int) -> tuple[Found, int]:
 
 def _unpack(data: bytes, at: int) -> tuple[list[Found], int]:
     """The records of the gzip member at a place, and the place after it."""
-    unpack = zlib.decompressobj(31)
+    unpack, left, parts = zlib.decompressobj(31), memoryview(data)[at:], []
     try:
-        body = unpack.decompress(memoryview(data)[at:], RECORD_BYTES)
+        while not unpack.eof:
+            parts.append(unpack.decompress(left, RECORD_BYTES))
+            left = unpack.unconsumed_tail
+            if not left and len(parts[-1]) < RECORD_BYTES:
+                break
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not unpack.eof:
         raise ValueError("gzip member does not end")
+    body = b"".join(parts)
     end, out, p = len(data) - len(unpack.unused_data), [], 0
     while p < len(body):
         found, p = _plain(body, p)
