@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from test_simhash import plain_components
@@ -69,13 +70,55 @@ def test_odd_rows(spark):
     assert pr.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_real_vectors(spark):
-    df = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").limit(4000)
-    rows = df.collect()
-    x = pr.unit(np.array([r.embedding for r in rows]))
-    near = x @ x.T >= 0.95
+def near_to(u, cos, rng):
+    """Vectors at exactly this cosine from the unit vectors, up to rounding."""
+    w = rng.standard_normal(u.shape)
+    w = pr.unit(w - (w * u).sum(1, keepdims=True) * u)
+    return cos * u + np.sqrt(1 - cos * cos) * w
+
+
+def test_recall_against_brute_force(spark):
+    """Every link of 24,000 vectors: pairs near the threshold, a large group of near copies
+    whose cells are cut into chunks, exact copies, and vectors without any link."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((14_000, 32))
+    pairs = [near_to(pr.unit(base[k : k + 1500]), cos, rng) for k, cos in zip(range(0, 9000, 1500), (0.9501, 0.952, 0.955, 0.96, 0.97, 0.99))]
+    group = base[9_500] + 0.02 * rng.standard_normal((700, 32))
+    copies = np.repeat(base[9_600:9_601], 300, 0)
+    x = np.concatenate([base, *pairs, group, copies]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    assert len(x) == 24_000 and pr.layout(len(x))[0] == 7
+    u = pr.unit(x)
+    near = np.concatenate([u[k : k + 2000] @ u.T >= 0.95 for k in range(0, len(u), 2000)])
     np.fill_diagonal(near, False)
-    got = {r.vec_id: r.n_links for r in pr.near_duplicates(spark.createDataFrame(rows, df.schema)).collect()}
-    want = dict(zip([r.vec_id for r in rows], near.sum(1).tolist()))
-    found, all_ = sum(min(got[i], n) for i, n in want.items()), sum(want.values())
-    assert all(got[i] <= n for i, n in want.items()) and found >= 0.999 * all_
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    rows = sorted(pr.near_duplicates(df.repartition(4), block=256).collect())
+    found, all_ = np.array([r.n_links for r in rows]), near.sum(1)
+    assert (found <= all_).all() and found.sum() >= 0.999 * all_.sum() and all_.sum() > 500_000
+    loose = [k for k in range(len(x)) if 0 < all_[k] < 50]  # the planted pairs, whose cosine is near the threshold
+    assert sum(found[k] for k in loose) >= 0.999 * sum(all_[k] for k in loose) and len(loose) > 15_000
+    component = pr.stars(len(x), *np.nonzero(near))
+    assert np.mean([r.component_id == component[k] for k, r in enumerate(rows)]) >= 0.999
+
+
+@pytest.mark.parametrize("at_once", [1 << 22, 500])
+def test_counted_collisions_are_those_of_all_pairs(monkeypatch, at_once):
+    """Windows of sorted lists find the pairs that comparing all projections finds."""
+    monkeypatch.setattr(pr, "AT_ONCE", at_once)
+    p = np.random.default_rng(2).integers(0, 256, (70, 12)).astype(np.uint8)
+    close = (np.abs(p[:, None].astype(int) - p[None]) <= 40).sum(2) >= 6
+    for second in (np.zeros(70, bool), np.arange(70) % 3 == 0):
+        other = second[:, None] != second[None] if second.any() else np.ones((70, 70), bool)
+        want = {(i, j) for i, j in zip(*np.nonzero(close & other)) if i < j}
+        got = list(zip(*(c.tolist() for c in pr.passing(p, second, 40, 6))))
+        assert set(got) == want and len(got) == len(want) and len(want) > 50
+
+
+def test_plan_ships_keys_and_bytes(spark):
+    """The first pass shuffles no vector."""
+    classes = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "key long, vec array<float>")
+    crowded = spark.createDataFrame([], "dim int, cell long, parts long")
+    found = pr.active(pr._blocks(pr._codes(classes, 4, 7, np.float32, False), crowded), 0.95)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and "array" not in str(found.schema) and not any("vec" in line for line in shuffled)

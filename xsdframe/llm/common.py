@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,12 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches of this session. Results are lazy, and a plan takes these
+    settings when it runs, so they stay; tighter ones of the caller's are kept."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        told = re.fullmatch(r"(\d+)", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not told or not 0 < int(told[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

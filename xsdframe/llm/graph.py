@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
 def _small_star(e: DataFrame) -> DataFrame:
+    """Each node's smaller neighbours, and itself, hang on the smallest of them."""
     least = e.groupBy("a").agg(F.min("b").alias("m"))
     moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _large_star(e: DataFrame) -> DataFrame:
+    """Each node's larger neighbours hang on its smallest one. Edges lead from a to a smaller b,
+    so only a node that is some edge's a has a smaller neighbour; the others' edges stay."""
+    least = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    return e.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches.
 
@@ -31,15 +33,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links give an empty result.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialise(edges, "links")
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The table and what tells it from another, gathered while it is written."""
+        seen = Observation()
+        mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        kept = materialise(e.observe(seen, *mark), "links")
+        return kept, (seen.get["n"], seen.get["sum"])
 
-    seen = mark(edges)
+    edges, seen = written(edges)
     for _ in range(rounds if seen[0] else 0):
-        after = materialise(_small_star(_large_star(edges)), "links")
-        now = mark(after)
+        after, now = written(_small_star(_large_star(edges)))
         discard(edges)
         edges = after
         if now == seen:

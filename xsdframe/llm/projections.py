@@ -1,41 +1,48 @@
-"""Near-duplicate vectors by collision counting over one-dimensional projections.
+"""Near-duplicate vectors by collision counting over sorted one-dimensional projections.
 
-Unit vectors are projected on many random lines. Two vectors collide on a line if one
-lies in the window of half-width w around the other. The
-projections of a pair at the threshold differ by a normal variable whose deviation is
-their distance, so the number of collisions over LISTS lines is binomial; the count that
+Unit vectors are projected on LISTS random lines. On each line the vectors are sorted, and
+every vector is a query: those within half-width w of it, found by binary search, collide
+with it. The projections of a pair at the threshold differ by a normal variable whose
+deviation is their distance, so the pair's number of collisions is binomial; the count that
 a pair must reach is calibrated for MISS_COUNT, and pairs that reach it are verified by
 cosine in double precision.
 
-Counting the collisions of all pairs is quadratic in all cases: on a single line a window
-that holds nearly all near pairs holds a third of all others. So pairs are first brought
-together by groups of lines cut at zero (random hyperplanes): `bits` lines at once make a
-cell, `tables` such groups are enough that a pair at the threshold shares a cell with all
-but MISS_CELL probability (closer pairs miss far less). No line is sorted: within a cell
-the collisions of each pair are counted on all LISTS lines. bits grows with the logarithm
-of the number of vectors, so cells stay small.
-
-A cell of more than BLOCK vectors (a large group of near copies) is cut into chunks, and
-each pair of chunks is a task's work of its own. Links are counted where they are found,
-in the first cell that a pair shares, and only star links of each block's connected
-groups leave it, so no group is ever expanded into pairs. Equal vectors are one class.
+On a single line a window that holds nearly all near pairs holds a third of all others, so
+over whole tables the windows of all queries are quadratic whatever their width. So the
+lists are cut: a group of `bits` lines cut at zero (random hyperplanes) makes a cell, the
+sorted lists are those of a cell, and `tables` such groups are enough that a pair at the
+threshold shares a cell with all but MISS_CELL probability (closer pairs miss far less).
+bits grows with the logarithm of the number of vectors, so lists stay short.
+
+Two passes keep vectors out of the shuffle. The first ships keys and projections of one
+byte (windows are wider by the rounding, so no collision is lost) and finds the vectors
+that take part in a pair that reaches the count. Only those are fetched for the second,
+which counts again among them and verifies.
+
+A cell of more than `block` vectors (a large group of near copies) is cut into chunks, and
+each pair of chunks is a task's work of its own. Links are counted in the first cell that a
+pair shares, and only star links of each block's connected groups leave it, so no group is
+ever expanded into pairs. Equal vectors are one class, recognised by 128 bits of hash.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, tune
+from .common import discard, materialise, pick, tune
 from .graph import components
 
-THRESHOLD, LISTS, WINDOW, MISS_COUNT, MISS_CELL, BLOCK, SEED = 0.95, 32, 2.0, 1e-5, 1e-3, 2048, 17
+THRESHOLD, LISTS, WINDOW, MISS_COUNT, MISS_CELL, BLOCK, SEED = 0.95, 24, 2.0, 1e-4, 8e-4, 2048, 17
 #: Vectors in a cell, about.
-CELL = 64
+CELL = 256
+#: Steps of a projection's byte in one unit, and collisions that are counted at once.
+STEPS, AT_ONCE = 30, 1 << 22
 
 
 def calibrated(threshold: float = THRESHOLD, lists: int = LISTS, window: float = WINDOW, miss: float = MISS_COUNT) -> tuple[float, int]:
@@ -69,38 +76,61 @@ def _lines(dim: int, n: int, kind: int) -> np.ndarray:
     return np.random.default_rng([SEED, kind, dim]).standard_normal((dim, n))
 
 
-def block_links(
-    x: np.ndarray, codes: np.ndarray, chunk: np.ndarray, table: int, halves: tuple[int, int], threshold: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of a block with cosine >= threshold that share no cell of an
-    earlier table. halves: the chunks whose vectors meet."""
-    width, least = calibrated(threshold)
-    u = unit(x)
-    p = (u @ _lines(x.shape[1], LISTS, 1)).astype(np.float32)
-    left = np.flatnonzero(chunk == halves[0])
-    right = left if halves[0] == halves[1] else np.flatnonzero(chunk == halves[1])
+def cell_codes(u: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Each row's cell in each table."""
+    signs = (u @ _lines(u.shape[1], bits * tables, 0) > 0).reshape(len(u), tables, bits)
+    return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+
+
+def projected(u: np.ndarray) -> np.ndarray:
+    """Places on the lines as bytes; far ends are clipped, which brings no pair further apart."""
+    return np.clip(np.rint(u @ _lines(u.shape[1], LISTS, 1) * STEPS) + 128, 0, 255).astype(np.uint8)
+
+
+def _expand(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ... of count[k] numbers each, in a row."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def passing(p: np.ndarray, right: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of rows that collide on `least` lines at least.
+
+    p: bytes of each row on each line. right: which rows are of the second chunk; if any
+    are, only pairs between the chunks count. Lists are sorted, windows found by binary
+    search, and the collisions of each pair counted, at most about AT_ONCE at a time.
+    """
+    lines = p.shape[1]
+    queries = np.flatnonzero(~right)
+    held = np.flatnonzero(right) if right.any() else queries
+    m = len(held)
+    if not m or not len(queries):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shift = 1024 * np.arange(lines, dtype=np.int64)  # further apart than any window reaches
+    order = np.argsort(p[held], axis=0, kind="stable").T
+    lists = (np.take_along_axis(p[held].T.astype(np.int64), order, 1) + shift[:, None]).ravel()
+    order = order.ravel()
+    if held is queries:
+        at = np.arange(len(lists))
+        count = np.searchsorted(lists, lists + width, side="right") - at - 1
+        if count.sum() <= AT_ONCE:  # each pair from its lower end only
+            i, j = np.repeat(order, count), order[_expand(at + 1, count)]
+            found = np.flatnonzero(np.bincount(np.minimum(i, j) * m + np.maximum(i, j), minlength=1) >= least)
+            return held[found // m], held[found % m]
     out = []
-    for k in range(0, len(left), 256):
-        rows = left[k : k + 256]
-        count = np.zeros((len(rows), len(right)), np.uint8)
-        for line in range(LISTS):
-            count += np.abs(p[rows, line][:, None] - p[right, line][None, :]) <= width
-        a, b = np.nonzero(count >= least)
-        i, j = rows[a], right[b]
-        if halves[0] == halves[1]:
+    step = max(1, AT_ONCE // (lines * m))
+    for k in range(0, len(queries), step):
+        rows = queries[k : k + step]
+        centre = (p[rows].astype(np.int64) + shift).ravel()
+        low = np.searchsorted(lists, centre - width, side="left")
+        count = np.searchsorted(lists, centre + width, side="right") - low
+        i = np.repeat(np.repeat(np.arange(len(rows)), lines), count)
+        found = np.flatnonzero(np.bincount(i * m + order[_expand(low, count)], minlength=1) >= least)
+        i, j = rows[found // m], held[found % m]
+        if held is queries:
             i, j = i[i < j], j[i < j]
-        for s in range(0, len(i), 1 << 15):
-            a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-            near = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-            a, b = a[near], b[near]
-            new = np.ones(len(a), bool)
-            for t in range(table):
-                new &= codes[a, t] != codes[b, t]
-            out.append((a[new], b[new]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(c) for c in zip(*out))
-    return np.minimum(a, b), np.maximum(a, b)
+        out.append((np.minimum(i, j), np.maximum(i, j)))
+    i, j = (np.concatenate(c) for c in zip(*out))
+    return i, j
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -119,98 +149,167 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = after
 
 
-_ROW = "t int, dim int, cell long, key long, weight long, vec binary, codes binary"
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A binary column whose values are of one length, as rows of bytes."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
 
 
-def _cells(classes: DataFrame, bits: int, tables: int, double: bool) -> DataFrame:
-    kind = np.float64 if double else np.float32
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of an array as a binary column."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _vectors(batch: pa.RecordBatch, at: int, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of a batch for each length of vectors."""
+    lists = batch.column(at)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    dims = np.diff(ends)
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        yield rows, flat[_expand(ends[rows].astype(np.int64), np.full(len(rows), dim))].reshape(len(rows), dim).astype(kind)
+
+
+#: A block: vectors of one length in one cell of a table, or in two chunks of it.
+HEAD = "dim int, cell long, chunks long"
+
+
+def _grouped(work: Callable[[tuple, list[pa.RecordBatch]], pa.RecordBatch | None]):
+    """A function for mapInArrow that gives `work` the rows of each block; rows come sorted."""
+
+    def run(batches):
+        head, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((heads[1:] != heads[:-1]).any(1)) + 1).tolist(), len(heads)]
+            for a, b in zip(cuts, cuts[1:]):
+                own = tuple(heads[a].tolist())
+                if own != head:
+                    if sum(r.num_rows for r in rows) > 1 and (got := work(head, rows)) is not None:
+                        yield got
+                    head, rows = own, []
+                rows.append(batch.slice(a, b - a))
+        if sum(r.num_rows for r in rows) > 1 and (got := work(head, rows)) is not None:
+            yield got
+
+    return run
+
+
+def _codes(classes: DataFrame, bits: int, tables: int, kind: type, sums: bool) -> DataFrame:
+    """A row for each class and table: its cell, key and projections; or with sums, how many
+    rows of each cell a batch has."""
 
     def run(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                lists = batch.column(2)
-                dims = np.diff(lists.offsets.to_numpy())
-                flat, at = lists.values.to_numpy()[: lists.offsets[-1].as_py()], lists.offsets.to_numpy()
-                keys, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for dim in np.unique(dims):
-                    rows = np.flatnonzero(dims == dim)
-                    x = np.stack([flat[at[r] : at[r] + dim] for r in rows]).astype(kind)
-                    signs = (unit(x) @ _lines(int(dim), bits * tables, 0) > 0).reshape(len(rows), tables, bits)
-                    codes = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int32)
-                    n = len(rows) * tables
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                for rows, x in _vectors(batch, 1, kind):
+                    u, dim = unit(x), x.shape[1]
+                    cells = (cell_codes(u, bits, tables) | np.arange(tables, dtype=np.int64) << 32).ravel()
+                    if sums:
+                        cells, n = np.unique(cells, return_counts=True)
+                        yield pa.record_batch([pa.array(np.full(len(cells), dim, np.int32)), pa.array(cells), pa.array(n)], ["dim", "cell", "n"])
+                        continue
+                    keys = np.repeat(batch.column(0).to_numpy()[rows], tables)
                     yield pa.record_batch(
-                        [
-                            pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(np.full(n, dim, np.int32)),
-                            pa.array(codes.reshape(-1).astype(np.int64)), pa.array(np.repeat(keys[rows], tables)),
-                            pa.array(np.repeat(weights[rows], tables)),
-                            pa.array([v for r in x for v in [r.tobytes()] * tables], pa.binary()),
-                            pa.array([v for c in codes for v in [c.tobytes()] * tables], pa.binary()),
-                        ],
-                        [c.split()[0] for c in _ROW.split(", ")],
-                    )
-
-    return classes.select("key", "weight", "vec").mapInArrow(run, _ROW)
-
-
-def _blocks(cells: DataFrame, block: int) -> DataFrame:
-    """The rows with (bi, bj, chunk): cells of up to `block` rows are one block, others a
-    block for each pair of chunks."""
-    size = cells.groupBy("t", "dim", "cell").count().where(F.col("count") > block)
-    size = size.select("t", "dim", "cell", F.ceil(F.col("count") / block).cast("int").alias("chunks"))
-    rows = cells.join(size, ["t", "dim", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select(
-        "t", "dim", "cell", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), "chunk", "key", "weight", "vec", "codes"
-    )
+                        [pa.array(np.full(len(cells), dim, np.int32)), pa.array(cells), pa.array(keys), _binary(np.repeat(projected(u), tables, 0))],
+                        ["dim", "cell", "key", "p"],
+                    )
 
+    return classes.select("key", "vec").mapInArrow(run, "dim int, cell long, n long" if sums else "dim int, cell long, key long, p binary")
+
+
+def _blocks(codes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """HEAD, second, key, p: cells that are not crowded are one block, the others one for each
+    pair of chunks; second: the row is of the second chunk."""
+    rows = codes.join(crowded, ["dim", "cell"], "left")
+    chunk = F.pmod(F.xxhash64("key"), F.col("parts"))
+    rows = rows.withColumn("chunk", F.when(F.col("parts").isNotNull(), chunk)).withColumn(
+        "other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    )
+    chunks = F.coalesce(F.shiftleft(F.least("chunk", "other"), 32) + F.greatest("chunk", "other"), F.lit(0).cast("long"))
+    return rows.select("dim", "cell", chunks.alias("chunks"), F.coalesce(F.col("chunk") > F.col("other"), F.lit(False)).alias("second"), "key", "p")
 
-def found_links(classes: DataFrame, bits: int, tables: int, double: bool, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b, n): with b null, vectors n that a links to, found in one block; else a link
-    that holds a block's connected group together."""
-    kind = np.float64 if double else np.float32
 
-    def solve(head, rows):
-        t, dim, _, bi, bj = head
-        key, weight = (np.array(c, np.int64) for c in (rows["key"], rows["weight"]))
-        if len(key) < 2:
+def _split(chunks: int, second: np.ndarray) -> np.ndarray:
+    """Which rows count as the second chunk's: none where a chunk meets itself."""
+    return second if chunks >> 32 != chunks & 0xFFFFFFFF else np.zeros(len(second), bool)
+
+
+def active(blocks: DataFrame, threshold: float) -> DataFrame:
+    """HEAD, second, key of the rows that take part in a pair that reaches the count."""
+    width, least = calibrated(threshold)
+    reach = math.floor(width * STEPS + 1)
+
+    def work(head, rows):
+        p = np.concatenate([_bytes(r.column(5)) for r in rows])
+        second = _split(head[2], np.concatenate([r.column(3).to_numpy(zero_copy_only=False) for r in rows]))
+        own = np.unique(np.concatenate(passing(p, second, reach, least)))
+        if not len(own):
             return None
-        x = np.frombuffer(b"".join(rows["vec"]), kind).reshape(len(key), dim)
-        codes = np.frombuffer(b"".join(rows["codes"]), np.int32).reshape(len(key), tables)
-        i, j = block_links(x, codes, np.array(rows["chunk"]), t, (bi, bj), threshold)
-        if not len(i):
+        key = np.concatenate([r.column(4).to_numpy() for r in rows])[own]
+        constant = [pa.array(np.full(len(own), v), t) for v, t in zip(head, (pa.int32(), pa.int64(), pa.int64()))]
+        return pa.record_batch([*constant, pa.array(second[own]), pa.array(key)], ["dim", "cell", "chunks", "second", "key"])
+
+    by = ["dim", "cell", "chunks"]
+    return blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_grouped(work), f"{HEAD}, second boolean, key long")
+
+
+def found_links(chosen: DataFrame, bits: int, tables: int, kind: type, threshold: float) -> DataFrame:
+    """(a, a_first, b, b_first, n): with b null, vectors n that a links to, found in one block;
+    else a link that holds a block's connected group together. chosen: HEAD, second, key,
+    first, weight, vec."""
+    width, least = calibrated(threshold)
+    reach = math.floor(width * STEPS + 1)
+
+    def work(head, rows):
+        x = np.concatenate([v for r in rows for _, v in _vectors(r, 7, kind)])
+        key, first, weight = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in (4, 5, 6))
+        second = _split(head[2], np.concatenate([r.column(3).to_numpy(zero_copy_only=False) for r in rows]))
+        u, table = unit(x), head[1] >> 32
+        codes = cell_codes(u, bits, tables)[:, :table]
+        i, j, out = *passing(projected(u), second, reach, least), []
+        for s in range(0, len(i), 1 << 15):
+            a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+            near = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
+            near[near] = ~(codes[a[near]] == codes[b[near]]).any(1)  # else it counts in an earlier table
+            out.append((a[near], b[near]))
+        if not out or not sum(len(a) for a, _ in out):
             return None
-        n = np.bincount(i, weight[j], len(key)).astype(np.int64) + np.bincount(j, weight[i], len(key)).astype(np.int64)
+        i, j = (np.concatenate(c) for c in zip(*out))
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, i, weight[j])
+        np.add.at(n, j, weight[i])
         some = np.flatnonzero(n)
         root = stars(len(key), i, j)
         tied = np.flatnonzero(root != np.arange(len(key)))
-        a = pa.array(np.concatenate([key[some], key[root[tied]]]))
-        b = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(key[tied])])
-        return pa.record_batch([a, b, pa.array(np.concatenate([n[some], np.zeros(len(tied), np.int64)]))], ["a", "b", "n"])
+        none = pa.nulls(len(some), pa.int64())
+        left = np.concatenate([some, root[tied]])
+        return pa.record_batch(
+            [
+                pa.array(key[left]), pa.array(first[left]), pa.concat_arrays([none, pa.array(key[tied])]), pa.concat_arrays([none, pa.array(first[tied])]),
+                pa.array(np.concatenate([n[some], np.zeros(len(tied), np.int64)])),
+            ],
+            ["a", "a_first", "b", "b_first", "n"],
+        )
+
+    by = ["dim", "cell", "chunks"]
+    rows = chosen.select(*by, "second", "key", "first", "weight", "vec").repartition(*by).sortWithinPartitions(*by)
+    return rows.mapInArrow(_grouped(work), "a long, a_first long, b long, b_first long, n long")
 
-    def run(batches):
-        names, open_head, rows = ["chunk", "key", "weight", "vec", "codes"], None, None
-        for batch in batches:
-            heads = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(5)], 1)
-            cuts = np.flatnonzero((heads[1:] != heads[:-1]).any(1)) + 1
-            cols = [batch.column(c + 5).to_pylist() for c in range(5)]
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(heads)]):
-                if a == b:
-                    continue
-                head = tuple(heads[a].tolist())
-                if head != open_head:
-                    if open_head is not None and (got := solve(open_head, rows)) is not None:
-                        yield got
-                    open_head, rows = head, {n: [] for n in names}
-                for n, c in zip(names, cols):
-                    rows[n] += c[a:b]
-        if open_head is not None and (got := solve(open_head, rows)) is not None:
-            yield got
 
-    by = ["t", "dim", "cell", "bi", "bj"]
-    blocks = _blocks(_cells(classes, bits, tables, double), block)
-    return blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, n long")
+#: Stands for a null id: after all others, so that it names no component.
+_NO_ID = 2**63 - 1
+
+
+def _node(key: str, first: str) -> Column:
+    """Classes in order of their smallest ids, so a component's smallest class names it."""
+    return F.struct(F.col(first).alias("first"), F.col(key).alias("key"))
 
 
 def near_duplicates(
@@ -220,32 +319,43 @@ def near_duplicates(
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, nor do vectors of different lengths. Repeated rows link with each other; a
-    null vec_id never names a component. An empty table gives an empty result.
+    null vec_id never names a component (nor does the largest 64-bit one). An empty table
+    gives an empty result.
     """
-    tune(vectors.sparkSession)
+    spark = vectors.sparkSession
     rows = pick(vectors, id, vector).toDF("vec_id", "vec")
     double = "double" in dict(rows.dtypes)["vec"]
+    kind = np.float64 if double else np.float32
     rows = rows.withColumn("vec", F.col("vec").cast("array<double>" if double else "array<float>"))
     sound = F.expr(
         "vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(vec, x -> x <> 0)"
     )
+    hashes = [F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(SEED), F.col("vec")).alias("g")]
     good = rows.where(sound)
-    classes = good.groupBy("vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
-    classes = materialise(classes.withColumn("key", F.monotonically_increasing_id()), "vectors")
+    classes = good.select("vec_id", "vec", *hashes).groupBy("h", "g").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    classes = classes.withColumn("first", F.coalesce("first", F.lit(_NO_ID))).withColumn("key", F.monotonically_increasing_id())
+    tune(spark)
+    classes = materialise(classes, "vectors")
     bits, tables = layout(classes.count(), threshold)
-    found = materialise(found_links(classes, bits, tables, double, threshold, block), "vector-links")
+    crowded = _codes(classes, bits, tables, kind, True).groupBy("dim", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+    crowded = materialise(crowded.select("dim", "cell", F.ceil(F.col("n") / block).alias("parts")), "vector-cells")
+    chosen = materialise(active(_blocks(_codes(classes, bits, tables, kind, False), crowded), threshold), "vector-active")
+    chosen = chosen.join(classes.select("key", "first", "weight", "vec"), "key")
+    found = materialise(found_links(chosen, bits, tables, kind, threshold), "vector-links")
+    reach = components(found.where("b IS NOT NULL").select(_node("a", "a_first").alias("a"), _node("b", "b_first").alias("b")))
+    reach = reach.select(F.col("node.key").alias("key"), F.col("label.first").alias("component"))
     counted = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    reach = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
-    smallest = classes.join(reach, "key").groupBy("label").agg(F.min("first").alias("component"))
-    of = (
-        classes.join(counted, "key", "left").join(reach, "key", "left").join(smallest, "label", "left")
-        .select(
-            F.col("vec").alias("same"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "first").alias("component_id"),
-        )
+    component = F.coalesce("component", "first")
+    of = classes.select("h", "g", "key", "first", "weight").join(counted, "key", "left").join(reach, "key", "left")
+    of = of.select(
+        F.col("h").alias("of_h"), F.col("g").alias("of_g"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.when(component != _NO_ID, component).alias("component_id"),
     )
     of = materialise(of, "vector-components")
-    linked = good.join(of, good.vec == of.same).select("vec_id", "n_links", "component_id")
+    for done in (classes, crowded, found):
+        discard(done)
+    mine = good.select("vec_id", *hashes)
+    linked = mine.join(of, (F.col("h") == F.col("of_h")) & (F.col("g") == F.col("of_g"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     return linked.unionByName(alone).withColumn("kept", kept)
