@@ -41,8 +41,9 @@ from .graph import components
 THRESHOLD, LISTS, WINDOW, MISS_COUNT, MISS_CELL, BLOCK, SEED = 0.95, 24, 2.0, 1e-4, 8e-4, 2048, 17
 #: Vectors in a cell, about.
 CELL = 256
-#: Steps of a projection's byte in one unit, and collisions that are counted at once.
-STEPS, AT_ONCE = 30, 1 << 22
+#: Steps of a projection's byte in one unit, lines whose windows are searched before pairs
+#: that cannot reach the count are left, and collisions that are counted at once.
+STEPS, EARLY, AT_ONCE = 30, 14, 1 << 22
 
 
 def calibrated(threshold: float = THRESHOLD, lists: int = LISTS, window: float = WINDOW, miss: float = MISS_COUNT) -> tuple[float, int]:
@@ -89,48 +90,62 @@ def projected(u: np.ndarray) -> np.ndarray:
 
 def _expand(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[k], begin[k] + 1, ... of count[k] numbers each, in a row."""
-    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    out = np.repeat(begin - (np.cumsum(count) - count), count)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 def passing(p: np.ndarray, right: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of rows that collide on `least` lines at least.
 
     p: bytes of each row on each line. right: which rows are of the second chunk; if any
-    are, only pairs between the chunks count. Lists are sorted, windows found by binary
-    search, and the collisions of each pair counted, at most about AT_ONCE at a time.
+    are, only pairs between the chunks count. On the first EARLY lines lists are sorted,
+    windows found by binary search, and the collisions of each pair counted, at most about
+    AT_ONCE at a time; the other lines are looked at for pairs only that can still reach
+    the count.
     """
-    lines = p.shape[1]
+    lines, early = p.shape[1], min(EARLY, p.shape[1])
     queries = np.flatnonzero(~right)
     held = np.flatnonzero(right) if right.any() else queries
     m = len(held)
     if not m or not len(queries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shift = 1024 * np.arange(lines, dtype=np.int64)  # further apart than any window reaches
-    order = np.argsort(p[held], axis=0, kind="stable").T
-    lists = (np.take_along_axis(p[held].T.astype(np.int64), order, 1) + shift[:, None]).ravel()
-    order = order.ravel()
-    if held is queries:
-        at = np.arange(len(lists))
-        count = np.searchsorted(lists, lists + width, side="right") - at - 1
-        if count.sum() <= AT_ONCE:  # each pair from its lower end only
-            i, j = np.repeat(order, count), order[_expand(at + 1, count)]
-            found = np.flatnonzero(np.bincount(np.minimum(i, j) * m + np.maximum(i, j), minlength=1) >= least)
-            return held[found // m], held[found % m]
+    shift = 1024 * np.arange(early, dtype=np.int32)  # further apart than any window reaches
+    order = np.argsort(p[held, :early], axis=0, kind="stable").T
+    lists = (np.take_along_axis(p[held, :early].T.astype(np.int32), order, 1) + shift[:, None]).ravel()
+    order = order.ravel().astype(np.int32)
     out = []
-    step = max(1, AT_ONCE // (lines * m))
-    for k in range(0, len(queries), step):
-        rows = queries[k : k + step]
-        centre = (p[rows].astype(np.int64) + shift).ravel()
-        low = np.searchsorted(lists, centre - width, side="left")
-        count = np.searchsorted(lists, centre + width, side="right") - low
-        i = np.repeat(np.repeat(np.arange(len(rows)), lines), count)
-        found = np.flatnonzero(np.bincount(i * m + order[_expand(low, count)], minlength=1) >= least)
-        i, j = rows[found // m], held[found % m]
-        if held is queries:
-            i, j = i[i < j], j[i < j]
-        out.append((np.minimum(i, j), np.maximum(i, j)))
-    i, j = (np.concatenate(c) for c in zip(*out))
-    return i, j
+
+    def reach(rows: np.ndarray, counts: np.ndarray) -> None:
+        i, j = np.nonzero(counts >= least - (lines - early))
+        for s in range(0, len(i), 1 << 16):
+            a, b = rows[i[s : s + (1 << 16)]], held[j[s : s + (1 << 16)]]
+            apart = np.abs(p[a, early:].astype(np.int16) - p[b, early:])
+            enough = counts[i[s : s + (1 << 16)], j[s : s + (1 << 16)]] + (apart <= width).sum(1) >= least
+            if held is queries:
+                enough &= a < b
+            a, b = a[enough], b[enough]
+            out.append((np.minimum(a, b), np.maximum(a, b)))
+
+    if held is queries:
+        at = np.arange(1, len(lists) + 1, dtype=np.int32)
+        count = np.searchsorted(lists, lists + np.int32(width), side="right").astype(np.int32) - at
+        if count.sum(dtype=np.int64) <= AT_ONCE and m <= 1 << 11:  # each pair from its lower end only
+            codes = np.repeat(order * np.int32(m), count)
+            codes += order[_expand(at, count)]
+            counts = np.bincount(codes, minlength=m * m).reshape(m, m)
+            reach(held, counts + counts.T)
+            queries = queries[:0]  # all done
+    if len(queries):
+        for k in range(0, len(queries), step := max(1, AT_ONCE // (early * m))):
+            rows = queries[k : k + step]
+            centre = (p[rows, :early].astype(np.int32) + shift).ravel()
+            low = np.searchsorted(lists, centre - np.int32(width), side="left")
+            count = np.searchsorted(lists, centre + np.int32(width), side="right") - low
+            codes = np.repeat(np.repeat(np.arange(len(rows)) * m, early), count)
+            codes += order[_expand(low, count)]
+            reach(rows, np.bincount(codes, minlength=len(rows) * m).reshape(len(rows), m))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
