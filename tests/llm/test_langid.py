@@ -1,4 +1,6 @@
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -33,6 +35,50 @@ def test_grams_of_odd_texts():
     assert not by[0] and not by[5] and by[3] == by[4] != [] and by[6] == by[7]
 
 
+def plain_grams(text):
+    """The n-grams of one text, in order, as strings."""
+    low = (text or "").lower()
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in low).split()
+    line = f" {' '.join(words)}   "
+    return [line[k : k + 4] for k in range(len(line) - 3) if line[k : k + 4].strip()] if words else []
+
+
+def plain_sets(rows):
+    """Each language's n-grams, learned with dictionaries from (doc_id, text, lang)."""
+    counts = {}
+    for i, text, lang in rows:
+        if i is not None and text is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    shares = {lang: {g: n / c.total() for g, n in c.items() if n / c.total() >= langid.LEAST_SHARE} for lang, c in counts.items()}
+    peak = Counter()
+    for found in shares.values():
+        for g, share in found.items():
+            peak[g] = max(peak[g], share)
+    return {lang: {g for g, share in found.items() if share >= langid.TYPICAL * peak[g]} for lang, found in shares.items()}
+
+
+def plain_shares(text, sets):
+    grams = plain_grams(text)
+    return {lang: sum(g in own for g in grams) / max(1, len(grams)) for lang, own in sets.items()}
+
+
+def test_against_sets_of_strings(spark):
+    """The filters learn and count what dictionaries and sets do, but for false positives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    sets = plain_sets(rows)
+    model = langid.fit(docs)
+    assert model.languages == sorted(sets)
+    shares, has = model.shares([t for _, t, _ in rows])
+    said = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for k, (i, text, _) in enumerate(rows):
+        want = plain_shares(text, sets)
+        assert has[k] == bool(plain_grams(text))
+        assert all(abs(shares[k][j] - want[lang]) < 0.03 for j, lang in enumerate(model.languages))
+        best = sorted(want.values())[-1]
+        assert said[i].lang_pred == "und" if not has[k] else want[said[i].lang_pred] >= best - 0.06
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
@@ -70,5 +116,9 @@ def test_odd_rows(spark):
     none = langid.fit(df.limit(0))
     assert {(r.lang_pred, r.score) for r in langid.predict(df, none).collect()} == {("und", 0.0)}
     assert langid.predict(df.limit(0), model).count() == 0
-    clean = langid.accepted(df.toDF("doc_id", "text", "lang", "n"), model, 0.2)
-    assert clean.columns == ["doc_id", "text", "lang", "n"] and clean.where("text IS NULL OR text = ''").count() == 0
+    clash = df.toDF("doc_id", "text", "TEXT", "text")  # names that differ by case, and one that occurs twice
+    clean = langid.accepted(clash, model, 0.2)
+    assert clean.columns == ["doc_id", "text", "TEXT", "text"]
+    kept = sorted((r[0] or -1, r[1], r[2], r[3]) for r in clean.collect())
+    assert kept == sorted((r[0] or -1, *r[1:]) for r in rows * 3 if r[0] in (None, 3, 4, 5))
+    assert langid.accepted(clash.limit(0), model, 0.2).count() == 0

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from xsdframe.llm import quality as q
@@ -51,6 +53,64 @@ def test_features_do_not_depend_on_neighbours():
     assert (together == np.vstack([q.passages([t])[0] for t in texts])).all()
 
 
+def plain_passages(text):
+    """Features of one text, passage by passage, in loops over bytes and words."""
+    data, out = text or b"", []
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    kind = lambda b: (
+        6 if b > 127 else 0 if chr(b).islower() else 1 if chr(b).isupper() else 2 if chr(b).isdigit() else 3 if b == 32 else 4 if b == 10
+        else 7 + [c for c in range(33, 127) if not chr(c).isalnum()].index(b) if 33 <= b < 127 else 5
+    )
+    for at in range(0, max(1, len(data)), q.PASSAGE):
+        part = data[at : at + q.PASSAGE]
+        kinds, pairs, last = np.zeros(q.KINDS), np.zeros(q.PAIRS), np.zeros(q.WORDS)
+        for k, b in enumerate(part):
+            kinds[kind(b)] += 1
+            if at + k + 1 < len(data):
+                pairs[(b * 31 + data[at + k + 1] * 17) % 8191 % q.PAIRS] += 1
+        own = [(n, w) for n, (start, w) in enumerate(words) if at <= start < at + q.PASSAGE]
+        if data:
+            number = max(1, len(own))
+            last[0] = sum(n > 0 and words[n - 1][1] == w for n, w in own) / number
+            last[1] = len({w for _, w in own}) / number
+            last[2] = np.log1p(sum(not (b == 32 or 9 <= b <= 13) for b in part) / number)
+            last[3] = np.log1p(len(own))
+        out.append(np.concatenate([np.sqrt(kinds / max(1, len(part))), np.sqrt(pairs / max(1, len(part))), last]))
+    return np.array(out)
+
+
+def plain_score(model, text):
+    """The attention score of one text, passage by passage."""
+    w, total, bag = model.weights, 0.0, []
+    for x in plain_passages(text):
+        h = np.maximum((x - model.mean) / model.scale @ w["W"] + w["b"], 0)
+        bag.append((h, np.exp(w["u"] @ (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["G"])))))))
+        total += bag[-1][1]
+    z = sum(e / total * h for h, e in bag)
+    return 1 / (1 + np.exp(-(w["c"] @ z + w["d"])))
+
+
+def test_against_loops(spark):
+    """Features and scores of every document of a table, held against one document at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = q.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    x, count = q.passages(list(texts.values()))
+    assert np.allclose(x, np.vstack([plain_passages(t) for t in texts.values()]), atol=1e-5)
+    for r in q.predict(docs, model).collect():
+        assert abs(r.score - plain_score(model, texts[r.doc_id])) < 1e-3
+
+
+def test_learning_sample_is_bounded_by_passages(spark):
+    """Long texts cannot make the driver's share grow: the sample ends where passages do."""
+    rows = [(k, "word " * (5000 if k % 3 == 0 else 20)) for k in range(60)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    few = q.chosen(docs, labels, "text", "doc_id", "quality", 50, 100).collect()
+    assert 0 < len(few) <= 50 and all(r.doc_id % 3 for r in few)  # 5000 words are 49 passages, over an eighth
+    assert len(q.chosen(docs, labels, "text", "doc_id", "quality", 7, 1 << 17).collect()) == 7
+
+
 def test_held_out_ranking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -74,5 +134,7 @@ def test_odd_rows(spark):
     empty = q.fit(df.limit(0), labels.limit(0))
     assert {r.score for r in q.predict(df, empty).collect()} == {0.5}
     assert q.predict(df.limit(0), model).count() == 0
-    kept = q.accepted(df.toDF("doc_id", "text", "n"), empty)
-    assert kept.count() == 6 and kept.columns == ["doc_id", "text", "n"]
+    kept = q.accepted(df, empty)  # TEXT beside text
+    assert kept.count() == 6 and kept.columns == ["doc_id", "text", "TEXT"] and q.accepted(df.limit(0), model).count() == 0
+    some = {r[0] for r in q.accepted(df, model).collect()}
+    assert some == {r.doc_id for r in got if r.predicted}

@@ -70,8 +70,19 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or -1), r.fingerprint == "0" * 16, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == [(-1, False, None), (2, True, 2), (2, True, 2), (5, True, 2), (7, True, 2), (9, False, 9)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    kept = simhash.deduplicated(df.toDF("doc_id", "text", "other"))
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 9]
+    kept = simhash.deduplicated(df)  # TEXT beside text
+    assert kept.columns == ["doc_id", "text", "TEXT"] and sorted(((r[0] or -1), r[2]) for r in kept.collect()) == [(-1, 4), (2, 2), (9, 5)]
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id are told apart by their texts; of equal rows one stays."""
+    a, b, c = "one two three four five", "six seven eight nine ten", "One  two three four FIVE"
+    rows = [(5, a, 1), (2, b, 2), (5, b, 3), (7, a, 4), (7, a, 5), (3, c, 6), (3, a, 7), (8, None, 8), (8, "", 9), (9, None, 10), (2, b, 2), (None, b, 11), (None, b, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = [tuple(r) for r in simhash.deduplicated(df).collect()]
+    assert sorted(r[0] or -1 for r in got) == [-1, -1, 2, 3, 8]
+    assert (2, b, 2) in got and [r[1] in (a, c) for r in got if r[0] == 3] == [True]
 
 
 def test_chain_component(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -39,8 +40,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """
     have = df.columns
     at = [have.index(n) for n in names]
-    plain = df.toDF(*(f"_c{i}" for i in range(len(have))))
-    return plain.select(*(F.col(f"_c{i}").alias(n) for i, n in zip(at, names)))
+    return named_by_place(df).select(*(F.col(f"_c{i}").alias(n) for i, n in zip(at, names)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,29 +64,64 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def named_by_place(df: DataFrame) -> DataFrame:
+    """df with columns _c0, _c1, ...: no name clashes with another."""
+    return df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and the
-    files survive a lost executor."""
+    files survive a lost executor. Names that differ by case only, or occur twice, are kept."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    names = df.columns
+    clash = len({n.lower() for n in names}) < len(names)
+    plain = named_by_place(df) if clash else df
+    plain.write.parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path)
+    return back.toDF(*names) if clash else back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialise() wrote."""
-    spark = df.sparkSession
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in paths:
         path = hadoop.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that fresh_path() named."""
+    _delete(spark, [path])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialise() wrote."""
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what the code inside wrote to the shared folder. The list of those
+    folders is given; what is taken out of it stays."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        made = _SCRATCH.pop()
+        _delete(spark, made)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -117,3 +152,18 @@ def map_slices(
                 yield work(part)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_slices(df: DataFrame, column: str, keep: Callable[[pa.Array], object], most: int = SLICE_BYTES) -> DataFrame:
+    """The rows that `keep`, given a slice of the column, marks as true; all columns stay as
+    they are, whatever their names."""
+    tune(df.sparkSession)
+    at = df.columns.index(column)
+    plain = named_by_place(df)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, f"_c{at}", most):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

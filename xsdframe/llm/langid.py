@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HALF_SLICE, map_slices, materialise, pick, slices, tune
+from .common import HALF_SLICE, filter_slices, map_slices, materialise, pick
 
 #: Documents of a language learned from, least share of a language's n-grams, characters of an n-gram.
 SAMPLE, LEAST_SHARE, N = 8000, 2e-5, 4
@@ -198,15 +198,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows, all columns kept, whose text has a language with a share of `least` at least."""
+    """The rows, all columns kept, whose text has a language with a share of `least` at least.
+
+    Null texts, empty ones and those without a letter go; repeated rows stay or go together;
+    other columns may have any names and nulls; an empty table gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at], HALF_SLICE):
-                names, share = held.value.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array((np.array(names, object) != UNDETERMINED) & (share >= least)))
+    def keep(texts: pa.Array) -> np.ndarray:
+        names, share = held.value.predict(texts.to_pylist())
+        return (np.array(names, object) != UNDETERMINED) & (share >= least)
 
-    tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return filter_slices(docs, text, keep, HALF_SLICE)

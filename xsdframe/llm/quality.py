@@ -11,7 +11,7 @@ not say which.
 Passages are runs of PASSAGE bytes. Their features are shares of character kinds, of
 hashed byte pairs and of repeated words, all by array operations over whole slices.
 Learning uses at most SAMPLE labelled documents that are not held out, by a hash of the
-id; the fit is deterministic.
+id, and at most PASSAGES of their passages; the fit is deterministic.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HALF_SLICE, map_slices, pick, slices, tune
+from .common import HALF_SLICE, filter_slices, map_slices, materialise, pick, scratch
 from .langid import held_out
 
 #: Labelled documents learned from, bytes of a passage, hidden units, attention units.
 SAMPLE, PASSAGE, HIDDEN, GATE = 6000, 512, 32, 16
+#: Passages learned from, in all.
+PASSAGES = 1 << 17
 #: Features: kinds of characters, hashed byte pairs, word statistics.
 KINDS, PAIRS, WORDS = 40, 64, 4
 WIDTH = KINDS + PAIRS + WORDS
@@ -68,7 +70,7 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     passage = first[owner] + (np.arange(n) - begin[owner]) // PASSAGE
     held = np.maximum(np.bincount(passage, minlength=total), 1)[:, None]
     kinds = np.bincount(passage * KINDS + _KIND[data], minlength=total * KINDS).reshape(total, KINDS)
-    pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 17) % 8191 % PAIRS
+    pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 17) % 8191 % PAIRS
     within = owner[1:] == owner[:-1]  # both bytes are of one text
     pairs = np.bincount((passage[:-1] * PAIRS + pair)[within], minlength=total * PAIRS).reshape(total, PAIRS)
 
@@ -81,7 +83,8 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         run = np.zeros(n, np.int64)
         run[at] = 1
         place = np.arange(n) - at[np.maximum(np.cumsum(run) - 1, 0)]
-        mixed = np.where(blank, np.uint64(0), _MARKS[data] * (2 * place.astype(np.uint64) + np.uint64(1)))
+        place = place.astype(np.uint64)
+        mixed = np.where(blank, np.uint64(0), _MARKS[data] * (2 * place * place + np.uint64(1)))  # not linear, so abba is not baab
         code = np.add.reduceat(mixed, at)
         of = passage[at]
         number = np.maximum(np.bincount(of, minlength=total), 1)
@@ -180,25 +183,43 @@ def learn(x: np.ndarray, count: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", sample: int = SAMPLE
-) -> Model:
-    """Learn from at most `sample` labelled documents that are not held out; null labels and
-    texts are left out. The driver gets their passages' features only."""
-    marks = pick(labels, id, label).toDF("doc_id", "y").where(F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
+def chosen(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, sample: int, most: int) -> DataFrame:
+    """(doc_id, h, y, place): the labelled documents to learn from, told by id and hash of the
+    text, in the order of their ids' hashes: `sample` of them at most, and no more than have
+    `most` passages together. Repeated rows count once. Only ids and sizes are gathered."""
+    marks = pick(labels, id, label).toDF("doc_id", "y").where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = pick(docs, id, text).toDF("doc_id", "text").where(F.col("text").isNotNull())
-    chosen = rows.join(F.broadcast(marks), "doc_id")  # `sample` short rows at most
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(sample)
-    chosen = chosen.select(F.col("text").cast("binary").alias("text"), F.col("y").cast("double").alias("y"))
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("size")
+    found = rows.join(F.broadcast(marks), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "y", size).distinct()  # `sample` short rows are broadcast
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"), F.col("h")]
+    found = found.where(F.col("size") <= most // 8).orderBy(*order).limit(sample)
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over `sample` short rows
+    found = found.select("doc_id", "h", "y", F.row_number().over(Window.orderBy(*order)).alias("place"), F.sum("size").over(before).alias("together"))
+    return found.where(F.col("together") <= most).drop("together")
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        x, count = passages(part.column(0).to_pylist())
-        ends = np.cumsum(count)
-        held = [x[a:b].astype(np.float16).tobytes() for a, b in zip(ends - count, ends)]
-        return pa.record_batch([pa.array(held, pa.binary()), part.column(1)], ["x", "y"])
 
-    found = map_slices(chosen, "text", work, "x binary, y double", HALF_SLICE).collect()
+def fit(
+    docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", sample: int = SAMPLE, most: int = PASSAGES
+) -> Model:
+    """Learn from at most `sample` labelled documents that are not held out, with at most
+    `most` passages together (and an eighth of that each); null labels and texts are left
+    out. The driver gets those passages' features only, whatever the length of texts."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        picked = materialise(chosen(docs, labels, text, id, label, sample, most), "quality")
+        rows = pick(docs, id, text).toDF("doc_id", "text").where(F.col("text").isNotNull())
+        rows = rows.join(F.broadcast(picked), "doc_id").where(F.xxhash64("text") == F.col("h"))
+        rows = rows.select(F.col("text").cast("binary").alias("text"), F.col("y").cast("double").alias("y"), "place")
+
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            x, count = passages(part.column(0).to_pylist())
+            ends = np.cumsum(count)
+            held = [x[a:b].astype(np.float16).tobytes() for a, b in zip(ends - count, ends)]
+            return pa.record_batch([pa.array(held, pa.binary()), part.column(1), part.column(2)], ["x", "y", "place"])
+
+        found = map_slices(rows, "text", work, "x binary, y double, place int", HALF_SLICE)
+        found = sorted(found.groupBy("place").agg(F.first("x").alias("x"), F.first("y").alias("y")).collect(), key=lambda r: r.place)
     bags = [np.frombuffer(bytes(r.x), np.float16).astype(np.float32).reshape(-1, WIDTH) for r in found]
     x = np.vstack(bags) if bags else np.zeros((0, WIDTH), np.float32)
     return learn(x, np.array([len(b) for b in bags], np.int64), np.array([float(r.y > 0) for r in found]))
@@ -220,15 +241,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, all columns kept, whose text scores `threshold` at least."""
+    """The rows, all columns kept, whose text scores `threshold` at least.
+
+    Null and empty texts are scored as one passage of zeros, so all of them stay or all go;
+    so do repeated rows; other columns may have any names and nulls; an empty table gives an
+    empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at], HALF_SLICE):
-                score = held.value.scores(*passages(part.column(at).cast(pa.binary()).to_pylist()))
-                yield part.filter(pa.array(score >= threshold))
+    def keep(texts: pa.Array) -> np.ndarray:
+        return held.value.scores(*passages(texts.cast(pa.binary()).to_pylist())) >= threshold
 
-    tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return filter_slices(docs, text, keep, HALF_SLICE)

@@ -26,10 +26,10 @@ Equal fingerprints are one class throughout; copies are never expanded to pairs.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, pick
+from .common import discard, map_slices, materialise, named_by_place, pick
 from .graph import components
 
 #: Fingerprints of one segment value that are compared pair by pair.
@@ -58,16 +58,23 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long; rows are kept as they are."""
+def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", marks: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row as a signed long; rows are kept as they are.
+    marks: and two hashes of the text, h and g."""
     import numpy as np
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t.as_py()) for t in part.column(1)], np.uint64).view(np.int64)
-        return pa.record_batch([part.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+        return pa.record_batch([part.column(0), pa.array(fp), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
-    rows = pick(docs, id, text).toDF("doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return map_slices(rows, "text", work, "doc_id long, fp long")
+    rows = pick(docs, id, text).toDF("doc_id", "text")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *(_hashes("text") if marks else []))
+    return map_slices(rows, "text", work, "doc_id long, fp long" + (", h long, g long" if marks else ""))
+
+
+def _hashes(text: str) -> list[Column]:
+    whole = F.col(text).cast("binary")
+    return [F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(SEED), whole).alias("g")]
 
 
 _UPPER, _LOWER = "shiftrightunsigned(fp, 32)", "fp & 4294967295"
@@ -108,6 +115,19 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of each fingerprint in rows."""
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    reach = components(links(classes))
+    member = classes.join(reach, classes.fp == reach.node)
+    smallest = member.groupBy("label").agg(F.min("first").alias("component_id"))
+    linked = reach.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
+    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_class = materialise(of_class, "simhash-components")  # so both sides of the join to rows are shuffled, and a hot class can be split
+    discard(classes)
+    return of_class
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: 16 lowercase hex digits, and the
     smallest doc_id that links reach, the row's own class included.
@@ -117,29 +137,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     table gives an empty result.
     """
     rows = materialise(fingerprints(docs, text, id), "simhash")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    reach = components(links(classes))
-    member = classes.join(reach, classes.fp == reach.node)
-    smallest = member.groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = reach.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
-    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    of_class = materialise(of_class, "simhash-components")  # so both sides of the last join are shuffled, and a hot class can be split
-    return rows.join(of_class, "fp").select(
+    return rows.join(_components(rows), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows whose doc_id names their component: one document of each group of near
-    copies, all columns kept. Rows that repeat a doc_id with the same text go too; rows
-    with a null doc_id are kept, as nothing can name them."""
-    own, body = pick_column(docs, id), pick_column(docs, text)
-    kept = near_duplicates(docs, text, id).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.withColumns({"_own": own, "_body": body})
-    named = rows.join(kept, F.col("_own") == F.col("_kept")).dropDuplicates(["_own", "_body"])
-    return named.drop("_own", "_body", "_kept").unionByName(docs.where(own.isNull()))
-
-
-def pick_column(df: DataFrame, name: str):
-    """The column of exactly this name (DataFrame references ignore case)."""
-    return F.col(f"`{name}`") if [c.lower() for c in df.columns].count(name.lower()) == 1 else df[name]
+    """One document of each group of near copies, all columns kept: a row that has the group's
+    smallest doc_id, of several with different texts the one with the smallest hash.
+
+    Rows that repeat a doc_id with other texts are documents of their own; of those that
+    repeat both id and text one stays. Rows with a null doc_id are kept, as nothing can name
+    them. Null, empty and blank texts are one group. Other columns may have any names and
+    nulls; an empty table gives an empty one. Decisions are made on ids, fingerprints and
+    hashes; texts are shuffled once at most, to meet them.
+    """
+    rows = materialise(fingerprints(docs, text, id, True), "simhash")
+    named = rows.join(_components(rows), "fp").where("doc_id = component_id")
+    times = named.groupBy("doc_id", "h", "g").count()
+    kept = times.groupBy("doc_id").agg(F.min(F.struct("h", "g", "count")).alias("one"))
+    kept = materialise(kept.select(F.col("doc_id").alias("_id"), "one.h", "one.g", "one.count"), "simhash-kept")
+    names = docs.columns
+    plain = named_by_place(docs)
+    own, body = f"_c{names.index(id)}", f"_c{names.index(text)}"
+    hashed = plain.select("*", F.col(own).cast("long").alias("_id"), *_hashes(body))
+    by = ["_id", "h", "g"]
+    out = hashed.join(kept.where("count = 1"), by, "left_semi").select(plain.columns)
+    if kept.where("count > 1").take(1):
+        repeated = hashed.join(kept.where("count > 1"), by, "left_semi").dropDuplicates(by)
+        out = out.unionByName(repeated.select(plain.columns))
+    return out.unionByName(plain.where(F.col(own).cast("long").isNull())).toDF(*names)
