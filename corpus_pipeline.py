@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from xsdframe.llm import langid, packing, quality, simhash
-from xsdframe.llm.common import materialise, table
+from xsdframe.llm.common import discard_path, materialise, scratch, table
 from xsdframe.llm.queries import vocabulary
 
 #: Least share of a text's n-grams that one language must explain. Clean texts of a learned
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as made:  # what a stage wrote on the way goes, its result stays
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept = made.pop()
+        if before:
+            discard_path(spark, before)
+        before = kept
     return docs
