@@ -29,10 +29,37 @@ def test_align_by_brute_force():
             offsets.insert(4, offsets[4])  # two tokens of one character
         s = sorted(rnd.sample(range(60), 6))
         spans = [(s[0], s[1]), (s[2], s[2]), (s[3], s[5])]
-        got = list(zip(*(x.tolist() for x in chat.align(offsets, spans))))
+        got = list(zip(*(x.tolist() for x in chat.align(offsets, spans)[1:])))
         want = [(k, max(a, x), min(b, y)) for x, y in spans for k, (a, b) in enumerate(offsets) if max(a, x) < min(b, y)]
         assert got == want
-    assert len(chat.align([], [(0, 1)])[0]) == 0
+    assert len(chat.align([], [(0, 1)])[0]) == 0 == len(chat.align([(0, 1)], [])[0])
+
+
+def test_offsets_are_those_of_the_library():
+    """Ids and character spans of whole texts, special strings and split characters included."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices([*BITS, "don't", "12345", "𝔘", "日本語", "  ", "<|endoftext|>", "\u0301", "ß"], k=rnd.randint(0, 30))) for _ in range(400)]
+    ids, count, offsets = chat.encode(texts, path)
+    at = base = 0
+    for text, n in zip(texts, count.tolist()):
+        e = tok.encode(text, add_special_tokens=False)
+        assert ids[at : at + n].tolist() == e.ids
+        assert [(a - base, b - base) for a, b in offsets[at : at + n].tolist()] == e.offsets
+        at, base = at + n, base + len(text)
+
+
+def test_covered_counts_each_character_once():
+    import numpy as np
+
+    for parts in ([], [(1, 3), (3, 5)], [(0, 2), (1, 2), (1, 3), (6, 7)], [(2, 4), (2, 4)]):
+        a, b = np.array(parts, np.int64).reshape(-1, 2).T
+        marked = {k for x, y in parts for k in range(x, y)}
+        assert chat.covered("abcdefgh", a, b) == "".join(c for k, c in enumerate("abcdefgh") if k in marked)
 
 
 def plain(rows):
