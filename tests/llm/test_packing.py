@@ -54,7 +54,8 @@ def check(rows, texts, length):
 
 @pytest.mark.parametrize("length,per_range", [(4096, 1 << 18), (64, 2000)])
 def test_documents(spark, monkeypatch, length, per_range):
-    monkeypatch.setattr(packing, "RANGE_IDS", per_range)
+    monkeypatch.setattr(packing, "LEAST_IDS", per_range)
+    monkeypatch.setattr(packing, "MOST_IDS", 2 * per_range)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack(docs, P.path("word_bpe_49k.json"), length=length, with_ids=True).collect()
     check(rows, [(r.doc_id, r.text) for r in docs.collect()], length)
@@ -73,3 +74,10 @@ def test_neighbours_are_alike(spark):
     rows = packing.pack(df, P.path("word_bpe_49k.json"), length=256).collect()
     order = [r.doc_id % 3 for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
     assert sum(a != b for a, b in zip(order, order[1:])) == 2
+
+
+def test_ranges_are_bounded():
+    """A range has at most about 32 million ids, however many there are; small inputs have few ranges."""
+    for total in (0, 1, 10**6, 10**9, 10**13):
+        n = packing.ranges_for(total, 200)
+        assert total / n <= packing.MOST_IDS and (n == 1 or total / n >= packing.LEAST_IDS)

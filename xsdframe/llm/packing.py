@@ -8,9 +8,9 @@ only the last sequence has padding, and neighbours in a sequence are neighbours
 curve. The hash below the key keeps a large group of equal documents from being one
 indivisible key.
 
-The order is cut into ranges of about equal counts by quantiles of the key; a range's
-documents are summed in a window, ranges in one small table, so no task and no driver
-sees more than its range. Ids travel as 16-bit numbers where the vocabulary allows.
+The order is cut into ranges by range-partitioning the keys; a range's documents are
+summed in a window, ranges by their totals, so no task and no driver sees more than its
+range. Ids travel as 16-bit numbers where the vocabulary allows.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, pick, tune
+from .common import map_slices, materialise, pick, shuffle_parts, tune
 from .spans import tokenizer_encoder
 
 BUCKETS, DIMS, BITS, TIE_BITS, SEED = 256, 4, 8, 24, 7
-#: Ids in a range, about, and how many ranges there are at most.
-RANGE_IDS, RANGES = 1 << 18, 1 << 16
+#: Ids in a range: so many at least, where there are, and so many at most, about.
+LEAST_IDS, MOST_IDS = 1 << 18, 1 << 25
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -110,30 +110,36 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, wide: bool, text: str
     )
 
 
+def ranges_for(total: int, parts: int) -> int:
+    """How many ranges the order is cut into: about one for each shuffle partition, with no
+    fewer than LEAST_IDS ids each where that can be, and never more than MOST_IDS."""
+    return max(1, min(parts, total // LEAST_IDS), -(-total // MOST_IDS))
+
+
 def _placed(table: DataFrame) -> DataFrame:
-    """`at`: how many ids stand before each document in the whole order."""
+    """`at`: how many ids stand before each document in the whole order.
+
+    Spark's range partitioner orders the keys alone; the last key and the sum of ids of each
+    range come to the driver (16 bytes for each), and one pass over the documents gives each
+    its range and what stands before it."""
     spark = table.sparkSession
     total = table.agg(F.sum("doc_tokens")).first()[0] or 0
-    ranges = int(min(RANGES, max(1, total // RANGE_IDS)))
-    cuts: list[int] = []
-    if ranges > 1:
-        shares = [k / ranges for k in range(1, ranges)]
-        cuts = table.agg(F.percentile_approx("okey", shares, max(10_000, 10 * ranges))).first()[0]
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
-
-    @F.pandas_udf("int")
-    def range_of(key):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds.value, key.to_numpy(), side="left").astype(np.int32))
-
-    rows = table.withColumn("range", range_of("okey"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("range").agg(F.sum("doc_tokens").alias("n"))
-    bases = bases.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("range").orderBy("okey", "doc_id", "doc_tokens", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0)))
-    return rows.join(bases, "range").withColumn("at", F.col("base") + F.col("inside"))
+    ranges = ranges_for(total, shuffle_parts(spark))
+    keys = table.select("okey", "doc_tokens").repartitionByRange(ranges, "okey")
+    found = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("okey").alias("last"), F.sum("doc_tokens").alias("n"))
+    found = sorted((r.last, r.n) for r in found.collect())  # no key is in two ranges
+    last, n = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    bounds = spark.sparkContext.broadcast((last, np.cumsum(n) - n))
+
+    @F.arrow_udf("struct<range:int,base:long>")
+    def range_of(key: pa.Array) -> pa.Array:
+        cuts, base = bounds.value
+        at = np.searchsorted(cuts, key.to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(base[at])], ["range", "base"])
+
+    rows = table.withColumn("r", range_of.asNondeterministic()("okey"))  # so it runs once
+    inside = Window.partitionBy("r.range").orderBy("okey", "doc_id", "doc_tokens", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("at", F.col("r.base") + F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0)))
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
