@@ -25,6 +25,39 @@ def test_all_lacings_and_unknown_sizes():
     assert len({p[4] for p in media.packets}) == 2
 
 
+def test_key_frames_and_encodings():
+    """Blocks that refer to others are no key frames; stripped headers and zlib are undone."""
+    group = lambda *more: m.element(m.BLOCK_GROUP, m.element(m.BLOCK, b"\x81\x00\x01\x00hh") + b"".join(more))
+    cluster = m.element(m.CLUSTER, m.number(m.TIMESTAMP, 0) + group() + group(m.element(m.REFERENCE_BLOCK, b"\xff")) + group() + block(0, b"s"))
+    media = m.parse(m._HEAD + m.element(m.SEGMENT, m._TRACKS + cluster))
+    assert [p[5] for p in media.packets] == [True, False, True, True]
+
+    def with_encodings(*encodings):
+        entry = m.element(m.TRACK_ENTRY, m.number(m.TRACK_NUMBER, 1) + m.element(m.ENCODINGS, b"".join(m.element(m.ENCODING, e) for e in encodings)))
+        return lambda *frames: m._HEAD + m.element(m.SEGMENT, m.element(m.TRACKS, entry) + m.element(m.CLUSTER, m.number(m.TIMESTAMP, 0) + b"".join(block(0, f) for f in frames)))
+
+    strip = m.element(m.COMPRESSION, m.number(m.ALGORITHM, m.STRIPPED) + m.element(m.SETTINGS, b"\x01\x02"))
+    pack = m.number(m.SCOPE, 1) + m.element(m.COMPRESSION, m.number(m.ALGORITHM, m.ZLIB))
+    data = with_encodings(strip)(b"abc", b"", b"d")
+    assert m.samples(data, m.parse(data)) == b"\x01\x02abc\x01\x02\x01\x02d"
+    data = with_encodings(strip, pack)(zlib.compress(b"abc"), zlib.compress(b"d"))
+    assert m.samples(data, m.parse(data)) == b"\x01\x02abc\x01\x02d"
+    data = with_encodings(m.number(m.ENCODING_TYPE, 1))(b"x")
+    with __import__("pytest").raises(ValueError, match="encrypted"):
+        m.samples(data, m.parse(data))
+
+
+def test_cue_and_track_tables(spark):
+    stored = m.store(spark.createDataFrame([(1, "z" * 192 * 150), (2, None)], "doc_id long, text string"))
+    cue = {(r.doc_id, r.cluster): r.time_ns for r in m.cues(stored).collect()}
+    first = {}
+    for r in m.packets(stored).collect():
+        first[r.doc_id, r.cluster] = min(first.get((r.doc_id, r.cluster), 1 << 62), r.timestamp_ns)
+    assert cue == first and len(cue) == 4  # 150 frames are three clusters
+    assert {(r.doc_id, r.track, r.codec, r.rate, r.stripped, r.compressed) for r in m.tracks(stored).collect()} == {(k, 1, "A_PCM/INT/LIT", 8000.0, b"", False) for k in (1, 2)}
+    assert m.cues(stored.limit(0)).count() == 0 == m.tracks(stored.limit(0)).count()
+
+
 def test_damage_gives_an_error_never_a_crash():
     data = m.mux(m.padded(b"some text " * 500))
     whole = len(m.parse(data).packets)

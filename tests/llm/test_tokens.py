@@ -39,6 +39,71 @@ def test_orc_files(spark, docs, k):
     assert "EqualTo(doc_id,7)" in some._jdf.queryExecution().toString() and some.count() == 1
 
 
+def fields(data):
+    """A protocol buffer message as {field: [values]}."""
+    out, at = {}, 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            value = varint()
+        elif key & 7 == 2:
+            n = varint()
+            value, at = data[at : at + n], at + n
+        else:
+            n = 8 if key & 7 == 1 else 4
+            value, at = data[at : at + n], at + n
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def test_orc_metadata(spark):
+    """A file's own metadata: several stripes, row indexes, Bloom filters on doc_id alone, and
+    run-length encoding of version 2; and a reader that skips what they exclude."""
+    import glob
+
+    rows = [(2 * k, f"some words of document {k} " * 8) for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = fresh_path(spark, "orc")
+    token_orc.write(docs.repartition(1), path, P.path("byte_bpe_50k.json"), stripe_bytes=1 << 18, compression="none")
+    found = {"stripes": 0, "files": 0}
+    for name in glob.glob(f"{path}/part-*.orc"):
+        data = open(name, "rb").read()
+        post = fields(data[-1 - data[-1] : -1])
+        footer = fields(data[-1 - data[-1] - post[1][0] : -1 - data[-1]])
+        assert footer[8][0] == 1000  # rows of an index entry
+        found["files"] += 1
+        for stripe in map(fields, footer[3]):
+            found["stripes"] += 1
+            begin = stripe[1][0] + stripe[2][0] + stripe[3][0]
+            inside = fields(data[begin : begin + stripe[4][0]])
+            streams = [(f.get(1, [0])[0], f.get(2, [0])[0]) for f in map(fields, inside[1])]  # kind, column
+            assert {c for k, c in streams if k == 6} == {0, 1, 2, 3, 4, 5}  # row indexes
+            assert {c for k, c in streams if k in (7, 8)} == {1}  # Bloom filters: doc_id
+            assert [fields(e).get(1, [0])[0] for e in inside[2]][1:] == [2, 2, 2, 2, 2]  # direct, version 2
+    assert found["stripes"] > found["files"]
+
+    def rows_read(df):
+        n = len(df.collect())
+        return n, df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    n, read = rows_read(token_orc.read(spark, path).where("doc_id = 20000"))
+    assert n == 1 and read <= 2000  # by row groups' least and largest ids
+    n, read = rows_read(token_orc.read(spark, path).where("doc_id = 20001"))
+    assert n == 0 and read == 0  # in the range of a row group, but not in its Bloom filter
+
+
 def test_orc_empty(spark, docs):
     path = fresh_path(spark, "orc")
     token_orc.write(docs[0].limit(0), path, P.path("byte_bpe_50k.json"))

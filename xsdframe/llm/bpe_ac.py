@@ -151,7 +151,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, its ids are
-    decoded, and both are digested where they are made, so neither leaves the worker."""
+    decoded, and both are digested where they are made, so neither leaves the worker. Null
+    texts are empty; repeated rows come out each; an empty table gives an empty result."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe, encoder = loaded(path, pattern)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,11 +26,13 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 FLAG_LACING, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x9C, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+ENCODINGS, ENCODING, SCOPE, ENCODING_TYPE, COMPRESSION, ALGORITHM, SETTINGS = 0x6D80, 0x6240, 0x5032, 0x5033, 0x5034, 0x4254, 0x4255
+ZLIB, STRIPPED = 0, 3
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, EBML_VERSION, READ_VERSION, MAX_ID, MAX_SIZE, TYPE_VERSION, TYPE_READ = 0x4282, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4287, 0x4285
 #: Elements whose children are walked.
-MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
+MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, ENCODINGS, ENCODING, COMPRESSION, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 #: Elements that can only follow a cluster of unknown size, not lie in it.
 TOP = {CLUSTER, CUES, INFO, TRACKS, SEGMENT, EBML}
 
@@ -100,6 +103,25 @@ def mux(payload: bytes) -> bytes:
     return _HEAD + element(SEGMENT, b"".join(body))
 
 
+@dataclass
+class Encoding:
+    """How stored frames came from the track's own. scope: bit 1, all frames."""
+
+    scope: int = 1
+    type: int = 0
+    algorithm: int = ZLIB
+    settings: bytes = b""
+
+    def undo(self, frame: bytes) -> bytes:
+        if not self.scope & 1:
+            return frame
+        if self.type == 0 and self.algorithm == STRIPPED:
+            return self.settings + frame
+        if self.type == 0 and self.algorithm == ZLIB:
+            return zlib.decompress(frame)
+        raise ValueError("frames are encrypted" if self.type else f"frames are compressed by algorithm {self.algorithm}")
+
+
 @dataclass
 class Track:
     number: int = 0
@@ -109,6 +131,7 @@ class Track:
     rate: float = 8000.0
     channels: int = 1
     depth: int = 0
+    encodings: list[Encoding] = field(default_factory=list)
 
 
 @dataclass
@@ -183,7 +206,7 @@ def laced(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 def parse(data: bytes) -> Media:
     """Walk a file. A damaged or cut file gives what came before the damage, and the error."""
     media = Media()
-    scale, segment, cluster, cluster_time = 1_000_000, 0, 0, 0
+    scale, segment, cluster, cluster_time, group = 1_000_000, 0, 0, 0, 0
     track = cue = None
     stack: list[tuple[int, int]] = []  # masters being walked: id, end
     at = 0
@@ -209,6 +232,10 @@ def parse(data: bytes) -> Media:
                     track = Track()
                 elif id == CUE_POINT:
                     cue = [0, 0, 0]
+                elif id == BLOCK_GROUP:
+                    group = len(media.packets)
+                elif id == ENCODING and track is not None:
+                    track.encodings.append(Encoding())
                 continue
             if id in (SIMPLE_BLOCK, BLOCK):
                 owner, p = _vint(data, at, False)
@@ -218,6 +245,13 @@ def parse(data: bytes) -> Media:
                 for a, b in laced(data, p + 3, end, flags >> 1 & 3):
                     media.packets.append((owner, time, a, b, cluster, id == BLOCK or flags >= 0x80))
                     time += step
+            elif id == REFERENCE_BLOCK:  # its group's frames need another frame
+                media.packets[group:] = [(*p[:5], False) for p in media.packets[group:]]
+            elif track is not None and track.encodings and id in (SCOPE, ENCODING_TYPE, ALGORITHM):
+                name = {SCOPE: "scope", ENCODING_TYPE: "type", ALGORITHM: "algorithm"}[id]
+                setattr(track.encodings[-1], name, int.from_bytes(data[at:end], "big"))
+            elif track is not None and track.encodings and id == SETTINGS:
+                track.encodings[-1].settings = data[at:end]
             elif id == TIMESTAMP:
                 cluster_time = int.from_bytes(data[at:end], "big")
             elif id == TIMESTAMP_SCALE:
@@ -251,7 +285,8 @@ def parse(data: bytes) -> Media:
 
 
 def store(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, media binary): each whole text as a Matroska file. Null texts are empty."""
+    """(doc_id, n_bytes, media binary): each whole text as a Matroska file. Null texts are empty;
+    repeated rows are stored as often as they occur; an empty table gives an empty one."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or b"" for t in part.column(1).to_pylist()]
@@ -265,28 +300,63 @@ def store(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
 
 PACKET = "track int, timestamp_ns long, begin long, end long, cluster long, keyframe boolean"
+CUE = "time_ns long, track int, cluster long"
+TRACK = "track int, kind int, codec string, duration_ns long, rate double, channels int, depth int, stripped binary, compressed boolean, error string"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
-def packets(stored: DataFrame, media: str = "media", id: str = "doc_id") -> DataFrame:
-    """A row for each frame: doc_id and PACKET. Null media and files without frames have none."""
+def _table(stored: DataFrame, media: str, id: str, schema: str, rows_of: Callable[[Media], list[tuple]]) -> DataFrame:
+    fields = [c.split() for c in schema.split(", ")]
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         rows, docs = [], []
         for doc, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            found = parse(data or b"").packets
+            found = rows_of(parse(data or b""))
             rows += found
             docs += [doc] * len(found)
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        names = ["doc_id", "track", "timestamp_ns", "begin", "end", "cluster", "keyframe"]
-        return pa.record_batch([pa.array(docs, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+        cols = list(zip(*rows)) or [[]] * len(fields)
+        return pa.record_batch([pa.array(docs, pa.int64()), *(pa.array(c, _KINDS[k]) for c, (_, k) in zip(cols, fields))], ["doc_id", *(n for n, _ in fields)])
+
+    plain = pick(stored, id, media).toDF("doc_id", "media").select(F.col("doc_id").cast("long").alias("doc_id"), "media")
+    return map_slices(plain, "media", work, f"doc_id long, {schema}")
+
+
+def packets(stored: DataFrame, media: str = "media", id: str = "doc_id") -> DataFrame:
+    """A row for each frame: doc_id and PACKET. The byte range is of what is stored; TRACK says
+    how it was encoded. Null media and files without frames have none; repeated rows have
+    theirs each; an empty table gives an empty one."""
+    return _table(stored, media, id, PACKET, lambda m: m.packets)
+
+
+def cues(stored: DataFrame, media: str = "media", id: str = "doc_id") -> DataFrame:
+    """A row for each cue: doc_id and CUE, the cluster as in packets(), so the index leads to
+    packets without a walk. Null media, repeated rows and empty tables as there."""
+    return _table(stored, media, id, CUE, lambda m: m.cues)
+
+
+def tracks(stored: DataFrame, media: str = "media", id: str = "doc_id") -> DataFrame:
+    """A row for each track: doc_id and TRACK. stripped: bytes that stand before each stored
+    frame; error: the file's, as far as it could be read. Null media and the like as above."""
+
+    def rows(m: Media) -> list[tuple]:
+        def stripped(t: Track) -> bytes:
+            return b"".join(e.settings for e in reversed(t.encodings) if e.scope & 1 and not e.type and e.algorithm == STRIPPED)
+
+        return [
+            (t.number, t.kind, t.codec, t.duration_ns, t.rate, t.channels, t.depth, stripped(t), any(e.algorithm != STRIPPED for e in t.encodings), m.error or None)
+            for t in m.tracks.values()
+        ]
 
-    return map_slices(pick(stored, id, media).toDF("doc_id", "media"), "media", work, f"doc_id long, {PACKET}")
+    return _table(stored, media, id, TRACK, rows)
 
 
 def samples(data: bytes, media: Media, track: int = 1) -> bytes:
-    """A track's frames in a row, by the packet table."""
-    return b"".join([data[a:b] for t, _, a, b, _, _ in media.packets if t == track])
+    """A track's frames in a row, by the packet table, encodings undone from the last to the first."""
+    how = media.tracks[track].encodings if track in media.tracks else []
+    frames = [data[a:b] for t, _, a, b, _, _ in media.packets if t == track]
+    for encoding in reversed(how):
+        frames = [encoding.undo(f) for f in frames]
+    return b"".join(frames)
 
 
 def features(wave: bytes, media: Media) -> str:
@@ -309,13 +379,17 @@ DIGEST = (
 
 def digest(stored: DataFrame) -> DataFrame:
     """DIGEST of each stored file, from its bytes: parsed, its frames joined by the packet
-    table. error is null for a sound file whose cues all point at clusters."""
+    table. error is null for a sound file whose cues all point at clusters. Repeated rows come
+    out as often as they came in; an empty table gives an empty result."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc, n, data in zip(*(c.to_pylist() for c in part.columns)):
             media = parse(data)
-            wave = samples(data, media)
+            try:
+                wave = samples(data, media)
+            except (ValueError, zlib.error) as e:
+                wave, media.error = b"", media.error or str(e)
             places = {p[4] for p in media.packets}
             error = media.error or ("" if {c[2] for c in media.cues} == places else "cues miss clusters")
             out.append((

@@ -67,7 +67,8 @@ def write(
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """SCHEMA and the file's number. Filters on doc_id reach the stripes' metadata."""
+    """SCHEMA and the file's number. Filters on doc_id reach the stripes' metadata. Files of an
+    empty table give no row."""
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
     return spark.read.schema(SCHEMA).orc(path).select("*", part.alias("part"))
 
@@ -82,7 +83,8 @@ def with_starts(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files. An empty table
+    gives an empty result."""
 
     def run(batches):
         for batch in batches:
