@@ -1,14 +1,5 @@
-"""Column builders for XSD's lexical and value rules; all stay in the JVM."""
+"""Expressions for XSD's lexical and value rules; all stay in the JVM."""
 
-from __future__ import annotations
+from .sql import F, let
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value bound to a name, so it is computed once and does not double
-    the expression each time it is used."""
-    return F.transform(F.array(value), lambda bound: body(bound))[0]
+__all__ = ["F", "let"]

@@ -12,9 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import F, let
 
-from . import let
 from .lexical import MONTH, YEAR, collapse
 
 _ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})?"

@@ -9,9 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import F, let
 
-from . import let
 
 # The building blocks of XSD lexical forms.
 TZ = r"(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?"

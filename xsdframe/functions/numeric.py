@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import F, let
 
-from . import let
 from .lexical import full
 
 INTEGER = r"[+-]?[0-9]+"

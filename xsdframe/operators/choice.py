@@ -15,7 +15,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ..functions import F
 
 from ..ir import ComplexType, Field
 

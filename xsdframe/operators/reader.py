@@ -7,10 +7,9 @@ structural or lexical is what a strict reader stops at, schema what it collects.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import let
+from ..functions import F, let
 from ..ir import Field
 from ..plans.shapes import EXTRA, NIL, ORDER, TAG, TYPE, Part, Shape, Slot
 from .choice import Choices

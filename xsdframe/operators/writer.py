@@ -9,9 +9,8 @@ counts still match, else in schema order with open content at its wildcard's pla
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from ..functions import let
+from ..functions import F, let
 from ..plans.shapes import EXTRA, NIL, ORDER, TAG, TYPE, Part, Shape, Slot
 from ..qname import XML, XSI, split
 from .opencontent import py_escape

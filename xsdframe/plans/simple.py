@@ -7,10 +7,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import datetimes, let, lexical, numeric
+from ..functions import F, datetimes, let, lexical, numeric
 from ..functions.pattern import java_pattern
 from ..ir import Schema
 from ..qname import XSD, split
