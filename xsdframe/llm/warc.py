@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, fresh_path, materialise, pick, shuffle_parts, slices, tune
+from .common import BATCH_ROWS, fresh_path, pick, shuffle_parts, slices, tune
 
 #: Payloads of fewer bytes are stored each time.
 LEAST = 100
@@ -448,8 +449,9 @@ RECORD = (
 )
 
 
-def _rows(archives: Iterator[tuple[str, bytes]], payloads: bool) -> Iterator[pa.RecordBatch]:
-    """RECORD of the records and gaps of (name, content) archives, in batches of bounded size."""
+def _rows(archives: Iterator[tuple[str, bytes]], payloads: bool, log: Callable[[str, list[dict]], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """RECORD of the records and gaps of (name, content) archives, in batches of bounded size.
+    log: takes an archive's name and what was quarantined of it, if anything."""
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [c.split() for c in (RECORD + (", payload binary" if payloads else "")).split(",")]
     rows: list[tuple] = []
@@ -459,7 +461,10 @@ def _rows(archives: Iterator[tuple[str, bytes]], payloads: bool) -> Iterator[pa.
         return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
     for file, data in archives:
+        lost = []
         for f in salvage(data):
+            if f.reason:
+                lost.append({"begin": f.begin, "end": f.end, "inner_begin": f.inner_begin, "inner_end": f.inner_end, "reason": f.reason, "record": f.headers.get("warc-record-id")})
             h = f.headers
             told = h.get("warc-payload-digest", "")
             row = (
@@ -471,6 +476,8 @@ def _rows(archives: Iterator[tuple[str, bytes]], payloads: bool) -> Iterator[pa.
             if len(rows) >= BATCH_ROWS or held > 8 << 20:
                 yield batch()
                 rows, held = [], 0
+        if log and lost:
+            log(file, lost)
     if rows:
         yield batch()
 
@@ -494,7 +501,9 @@ def read(spark: SparkSession, archives: str | list[str], payloads: bool = False)
 
 def read_written(manifest: DataFrame, path: str, payloads: bool = False) -> DataFrame:
     """As read(), for the archives that a manifest of write() names: executors open them, so no
-    list of them comes to the driver, and files of attempts that do not count are not read."""
+    list of them comes to the driver, and files of attempts that do not count are not read.
+    What is quarantined is logged too, a file of JSON lines for each damaged archive in the
+    folder `quarantine` (a task that runs again writes the same file)."""
     tune(manifest.sparkSession)
 
     def run(batches):
@@ -504,8 +513,13 @@ def read_written(manifest: DataFrame, path: str, payloads: bool = False) -> Data
             with fs.open_input_stream(f"{folder}/{name}", compression=None) as f:
                 return f.read()
 
+        def log(name: str, lost: list[dict]) -> None:
+            fs.create_dir(f"{folder}/quarantine", recursive=True)
+            with fs.open_output_stream(f"{folder}/quarantine/{name.rpartition('/')[2]}.jsonl", compression=None) as f:
+                f.write("".join(json.dumps({"file": name, **one}) + "\n" for one in lost).encode())
+
         for batch in batches:
-            yield from _rows(((name, content(name)) for name in batch.column(0).to_pylist()), payloads)
+            yield from _rows(((name, content(name)) for name in batch.column(0).to_pylist()), payloads, log)
 
     files = manifest.select("file").repartition(shuffle_parts(manifest.sparkSession), "file")
     return files.mapInArrow(run, RECORD + (", payload binary" if payloads else ""))
@@ -513,11 +527,7 @@ def read_written(manifest: DataFrame, path: str, payloads: bool = False) -> Data
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page, read
-    back from archives written to the shared folder. What could not be read is logged as RECORD
-    in the folder `quarantine` beside them (an empty table if nothing was damaged)."""
-    spark = pages.sparkSession
-    path = fresh_path(spark, "warc")
-    found = materialise(read_written(write(pages, path), path), "warc-records")
-    found.where("reason IS NOT NULL").coalesce(1).write.parquet(f"{path}/quarantine")
-    good = found.where("reason IS NULL")
+    back from archives written to the shared folder, where damage is logged beside them."""
+    path = fresh_path(pages.sparkSession, "warc")
+    good = read_written(write(pages, path), path).where("reason IS NULL")
     return good.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
