@@ -19,7 +19,7 @@ from .plans.shapes import Shaper, Slot, root_element
 from .plans.simple import SimplePlans
 from .qname import local
 
-__all__ = ["Plan", "compile", "load_xsd", "parse_xml", "safe_parse_xml", "to_xml", "validate"]
+__all__ = ["Plan", "compile", "load_xsd", "parse_xml", "paths_in", "safe_parse_xml", "to_xml", "validate"]
 
 
 @dataclass
@@ -49,21 +49,35 @@ class Plan:
 
 
 def compile(
-    schema: Schema, root: str | None = None, datatypes: str = "string", decimal: bool = False, max_depth: int = 4, paths: Iterable[str] | None = None
+    schema: Schema, root: str | None = None, datatypes: str = "string", decimal: bool = False, max_depth: int = 4, paths: Iterable[str] | None = None,
+    seen: Iterable[str] | None = None,
 ) -> Plan:
     """A plan for documents with this root.
 
     datatypes: `string` keeps dates as checked strings, `structured` parses them. decimal:
     xs:decimal as DECIMAL(38,18), not DOUBLE. max_depth: how deep a type may hold itself
     before its content stays open. paths: only these fields (a.b.c) are read, checked and typed.
+    seen: the paths that documents use, from paths_in(); the plan then has no other fields (which
+    keeps it small for schemas of thousands of types), but still misses required ones, and a
+    document with a field that was not seen is a violation `unseen`.
     """
     if datatypes not in ("string", "structured"):
         raise XsdFrameError(f"datatypes is string or structured, not {datatypes}", "bad-option")
     element = root_element(schema, root)
-    shaper = Shaper(schema, SimplePlans(schema, datatypes == "structured", decimal), max_depth, None if paths is None else set(paths))
+    shaper = Shaper(schema, SimplePlans(schema, datatypes == "structured", decimal), max_depth, None if paths is None else set(paths), None if seen is None else set(seen))
     return Plan(schema, element, shaper.root(element))
 
 
+def paths_in(df: DataFrame, column: str, schema: Schema, root: str | None = None, max_depth: int = 4) -> list[str]:
+    """The paths of fields that the documents of a column use, for compile(seen=). Each path
+    comes to the driver once: as many as the schema has in use, however many documents."""
+    element = root_element(schema, root)
+    slot = Shaper(schema, SimplePlans(schema), max_depth).root(element)
+    used = shred.used_paths(element.qname, slot)
+    found = df.select(F.explode(used(F.col(column))).alias("path")).distinct()
+    return sorted(r.path for r in found.collect())
+
+
 def safe_parse_xml(df: DataFrame, column: str, plan: Plan, into: str = "doc", issues: str = "_issues", validate: bool = True, raw: str | None = None) -> DataFrame:
     """df with the typed value `into` and all violations `issues`.
 

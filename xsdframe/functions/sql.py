@@ -61,11 +61,23 @@ def _plain(value) -> bool:
     return isinstance(value, Column) and not isinstance(value, Expr)
 
 
+#: How tightly what an expression consists of binds.
+OR, AND, NOT, COMPARED, SUM, CASE, ATOM = range(7)
+_LEVELS = {"OR": OR, "AND": AND, **dict.fromkeys(("=", "!=", "<", "<=", ">", ">=", "<=>", "RLIKE"), COMPARED), **dict.fromkeys("+-*/%", SUM)}
+_METHODS = {
+    "AND": "__and__", "OR": "__or__", "=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "+": "__add__",
+    "-": "__sub__", "*": "__mul__", "/": "__truediv__", "%": "__mod__", "<=>": "eqNullSafe", "RLIKE": "rlike",
+}
+
+
 class Expr:
-    """SQL text with a Column's operators. It counts as a Column wherever one is taken."""
+    """SQL text with a Column's operators. It counts as a Column wherever one is taken.
+
+    Parentheses stand only where an operator needs them: the parser looks through all that
+    stands in a pair before it knows what the pair is."""
 
-    def __init__(self, text: str, name: str | None = None, joined: tuple[str, tuple[str, ...]] | None = None):
-        self._text, self.name, self.joined = text, name, joined
+    def __init__(self, text: str, name: str | None = None, level: int = ATOM, parts: tuple[str, ...] = ()):
+        self._text, self.name, self.level, self.parts, self.literal = text, name, level, parts, None
 
     @property
     def __class__(self):
@@ -75,6 +87,10 @@ class Expr:
     def text(self) -> str:
         return self._text
 
+    def at(self, level: int) -> str:
+        """The text as an operand of something that binds so tightly."""
+        return self.text if self.level >= level else f"({self.text})"
+
     @property
     def column(self) -> Column:
         made = _functions.expr(self.text)
@@ -95,22 +111,20 @@ class Expr:
     def _binary(self, sign: str, other, swap: bool = False):
         if _plain(other):
             mine, yours = self.column, other
-            way = {"AND": "__and__", "OR": "__or__", "=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "+": "__add__",
-                   "-": "__sub__", "*": "__mul__", "/": "__truediv__", "%": "__mod__", "<=>": "eqNullSafe"}[sign]
-            return getattr(yours if swap else mine, way)(mine if swap else yours)
-        a, b = text_of(self), text_of(other)
-        if swap:
-            a, b = b, a
-        if sign in ("AND", "OR"):  # a chain has no depth
-            parts = (*_chain(self, sign, a), *_chain(other, sign, b))
-            return Expr(f"({f' {sign} '.join(parts)})", joined=(sign, parts))
-        return Expr(f"({a} {sign} {b})")
+            return getattr(yours if swap else mine, _METHODS[sign])(mine if swap else yours)
+        level = _LEVELS[sign]
+        if level <= AND:  # a chain has no depth
+            sides = [e.parts if e.level == level else (e.at(level + 1),) for e in (self, F.lit(other))]
+            parts = (*sides[swap], *sides[not swap])
+            return Expr(f" {sign} ".join(parts), level=level, parts=parts)
+        a, b = (e.at(ATOM if level == SUM else level + 1) for e in (self, F.lit(other)))
+        return Expr(f"{b} {sign} {a}" if swap else f"{a} {sign} {b}", level=level)
 
     def __and__(self, o): return self._binary("AND", o)
     def __or__(self, o): return self._binary("OR", o)
     def __rand__(self, o): return self._binary("AND", o, True)
     def __ror__(self, o): return self._binary("OR", o, True)
-    def __invert__(self): return Expr(f"(NOT {self.text})")
+    def __invert__(self): return Expr(f"NOT {self.at(COMPARED)}", level=NOT)
     def __eq__(self, o): return self._binary("=", o)
     def __ne__(self, o): return self._binary("!=", o)
     def __lt__(self, o): return self._binary("<", o)
@@ -125,41 +139,37 @@ class Expr:
     def __rmul__(self, o): return self._binary("*", o, True)
     def __truediv__(self, o): return self._binary("/", o)
     def __mod__(self, o): return self._binary("%", o)
-    def __neg__(self): return Expr(f"(- {self.text})")
+    def __neg__(self): return Expr(f"- {self.at(ATOM)}", level=SUM)
     def eqNullSafe(self, o): return self._binary("<=>", o)  # noqa: N802
 
     def __getitem__(self, key):
         if isinstance(key, str):
-            return Expr(f"{self.text}.{quoted(key)}", key)
-        return Expr(f"{self.text}[{text_of(key)}]")
+            return Expr(f"{self.at(ATOM)}.{quoted(key)}", key)
+        return Expr(f"{self.at(ATOM)}[{text_of(key)}]")
 
     def cast(self, kind): return Expr(f"CAST({self.text} AS {ddl(kind)})")
     def try_cast(self, kind): return Expr(f"TRY_CAST({self.text} AS {ddl(kind)})")
-    def isNull(self): return Expr(f"({self.text} IS NULL)")  # noqa: N802
-    def isNotNull(self): return Expr(f"({self.text} IS NOT NULL)")  # noqa: N802
+    def isNull(self): return Expr(f"{self.at(SUM)} IS NULL", level=COMPARED)  # noqa: N802
+    def isNotNull(self): return Expr(f"{self.at(SUM)} IS NOT NULL", level=COMPARED)  # noqa: N802
     def rlike(self, pattern): return self._binary("RLIKE", pattern)
     def startswith(self, o): return Expr(f"startswith({self.text}, {text_of(o)})")
-    def alias(self, name): return Expr(self.text, name)
+    def alias(self, name): return Expr(self.text, name, self.level, self.parts)
 
     def isin(self, *values):
         values = values[0] if len(values) == 1 and isinstance(values[0], (list, tuple, set)) else values
-        return Expr(f"({self.text} IN ({', '.join(map(text_of, values))}))")
-
-
-def _chain(value, sign: str, text: str) -> tuple[str, ...]:
-    return value.joined[1] if isinstance(value, Expr) and value.joined and value.joined[0] == sign else (text,)
+        return Expr(f"{self.at(SUM)} IN ({', '.join(map(text_of, values))})", level=COMPARED)
 
 
 class Case(Expr):
     """CASE WHEN ... END, to which branches can be added."""
 
     def __init__(self, branches: tuple[tuple[str, str], ...]):
-        super().__init__("")
+        super().__init__("", level=CASE)
         self.branches = branches
 
     @property
     def text(self) -> str:
-        return f"(CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in self.branches)} END)"
+        return f"CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in self.branches)} END"
 
     def when(self, condition, value):
         if _plain(condition) or _plain(value):
@@ -169,7 +179,15 @@ class Case(Expr):
     def otherwise(self, value):
         if _plain(value):
             return self.column.otherwise(value)
-        return Expr(f"{self.text[:-5]} ELSE {text_of(value)} END)")
+        return Expr(f"{self.text[:-4]} ELSE {text_of(value)} END", level=CASE)
+
+
+class Concat(Expr):
+    """A concat() of texts, numbers and strings."""
+
+    def __init__(self, args: tuple):
+        super().__init__(f"concat({', '.join(map(text_of, args))})")
+        self.args = args
 
 
 class _Functions:
@@ -190,13 +208,30 @@ class _Functions:
         return Expr(quoted(name), name)
 
     def lit(self, value):
-        return value if isinstance(value, Column) else Expr(text_of(value))
+        if isinstance(value, Column):
+            return value
+        made = Expr(text_of(value))
+        made.literal = value
+        return made
 
     def when(self, condition, value):
         if _plain(condition) or _plain(value):
             return _functions.when(condition, value)
         return Case(((text_of(condition), text_of(value)),))
 
+    def concat(self, *values):
+        """One call for nested ones; neighbouring literals are one."""
+        if any(map(_plain, values)):
+            return _functions.concat(*values)
+        args: list = []
+        for value in itertools.chain.from_iterable(v.args if isinstance(v, Concat) else (v,) for v in values):
+            literal = value.literal if isinstance(value, Expr) else value
+            if isinstance(literal, str) and args and isinstance(args[-1], str):
+                args[-1] += literal
+            else:
+                args.append(literal if isinstance(literal, str) else value)
+        return Concat(tuple(args))
+
     def struct(self, *fields):
         if any(map(_plain, fields)):
             return _functions.struct(*fields)

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions import F, let
 from ..ir import Field
-from ..plans.shapes import EXTRA, NIL, ORDER, TAG, TYPE, Part, Shape, Slot
+from ..plans.shapes import BOUND, EXTRA, NIL, ORDER, TAG, TYPE, Part, Shape, Slot
+from ..plans.simple import SimplePlan
 from .choice import Choices
 
 ISSUE = "struct<path:string,code:string,message:string,channel:string>"
@@ -63,10 +64,15 @@ def typed(slot: Slot, raw: Column) -> Column:
         if part.field.nillable and not part.repeated:
             nil = raw[column]["nil"] if part.slot.kind == "leaf" else raw[column]["_nil"] if part.slot.kind == "object" else F.lit(False)
             fields.append(F.coalesce(nil, F.lit(False)).alias(column + NIL))
+        if part.slot.leaf_tags:
+            tag = F.transform(raw[column], lambda x: x["tag"]) if part.repeated else raw[column]["tag"]
+            fields.append(tag.alias(column + TAG))
     if slot.polymorphic:
         fields.append(raw[TYPE].alias(TYPE))
     if slot.by_tag:
         fields.append(raw[TAG].alias(TAG))
+    if slot.binds:
+        fields.append(raw[BOUND].alias(BOUND))
     if slot.wild:
         fields.append(raw[EXTRA].alias(EXTRA))
     if slot.ordered:
@@ -94,18 +100,33 @@ def _leaf_issues(part: Part, raw: Column, path: str) -> list[Column]:
         if not f.nillable:
             out.append(_issue(~nil, path, "nil", "is not nillable", "schema"))
     value = _lexical(part, v)
-    for code, test, message in part.slot.simple.checks():
-        channel = "lexical" if code in ("lexical", "pattern", "enumeration") else "schema"
-        out.append(_issue(value.isNull() | test(value), path, code, message, channel))
+    for member, plan in _plans(part):
+        other = value.isNull() if member is None else value.isNull() | ~raw["tag"].eqNullSafe(F.lit(member or None))
+        for code, test, message in plan.checks():
+            channel = "lexical" if code in ("lexical", "pattern", "enumeration") else "schema"
+            out.append(_issue(other | test(value), path, code, message, channel))
     if f.fixed is not None:
         same = lambda c: part.slot.simple.comparable(c)
         out.append(_issue(value.isNull() | (same(value) == same(F.lit(f.fixed))), path, "fixed", f"must be {f.fixed}", "schema"))
     return out
 
 
+def _plans(part: Part) -> list[tuple[str | None, SimplePlan]]:
+    """The types that a leaf may have: by substituted tag, where they differ (empty: the head)."""
+    tags = part.slot.leaf_tags
+    if len({plan.name for _, plan in tags}) < 2:
+        return [(None, part.slot.simple)]
+    return [(m, plan) for m, plan in tags[:-1]] + [("", tags[-1][1])]
+
+
 def _part_issues(part: Part, raw: Column, path: str) -> list[Column]:
     """Arrays of violations of one field of an object."""
     f, here, out = part.field, f"{path}/{part.column}", []
+    if part.slot.kind == "absent":  # no document has it
+        if not part.required:
+            return []
+        code, said = ("min-occurs", f"expected array to have >={f.card.least} items") if part.repeated else ("required", f"expected {f.kind} {f.key}")
+        return [_list([_issue(F.lit(False), here, code, said, "schema")])]
     value = raw[part.column]
     if f.kind == "text":
         return [_list(_leaf_issues(part, value, path))] if not _empty(part) else []
@@ -148,6 +169,8 @@ def _shape_issues(shape: Shape, raw: Column, path: str) -> Column:
 
     def has(f: Field) -> Column:
         part = columns[f]
+        if part.slot.kind == "absent":
+            return F.lit(False)
         value = raw[part.column]
         return F.coalesce(F.size(value) > 0, F.lit(False)) if part.repeated else value.isNotNull()
 

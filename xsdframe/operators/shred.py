@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import XsdFrameError
-from ..plans.shapes import EXTRA, ORDER, TAG, TYPE, Shape, Slot
+from ..plans.shapes import BOUND, EXTRA, ORDER, TAG, TYPE, Part, Shape, Slot
 from ..qname import XSI, prefixed, split
 from ..sources.xmltree import Node, parse_xml, repair_tag_names
 from .opencontent import extra_parts, open_value, open_xml
@@ -56,53 +56,97 @@ def read_slot(node: Node, slot: Slot):
         return {"json": json.dumps(value, ensure_ascii=False), "xml": open_xml(node.tag, value)}
     if slot.kind == "leaf":
         nil = is_nil(node)
-        return {"v": None if nil or node.children else node.text, "nil": nil}
+        out = {"v": None if nil or node.children else node.text, "nil": nil}
+        if slot.leaf_tags:  # the head, last, needs no tag
+            out["tag"] = next((m for m, _ in slot.leaf_tags[:-1] if _matches(node, m)), None)
+        return out
     if is_nil(node):
         return {"_nil": True}
     k = _shape(node, slot)
-    out = read_object(node, slot.shapes[k])
+    told = xsi_type(node) if slot.polymorphic else None
+    known = told is None or any(told in (s.selector, s.type.name) for s in slot.shapes)
+    out = read_object(node, slot.shapes[k], not known)
     if len(slot.shapes) > 1:
         out["_shape"] = k
     if slot.by_tag:
         out[TAG] = slot.shapes[k].selector
     elif slot.polymorphic:
-        told = xsi_type(node)
-        declared = slot.shapes[0].type.name
-        out[TYPE] = told if told and told != declared else None
+        out[TYPE] = told if told and told != slot.shapes[0].type.name else None
     return out
 
 
-def read_object(node: Node, shape: Shape) -> dict:
-    out: dict = {"_nil": False}
+def assigned(node: Node, shape: Shape) -> list[tuple[Part, list[int]]]:
+    """Which children each element field takes: all with its name, or the first; an exact name
+    goes before a substitution."""
     taken: set[int] = set()
     exact = {p.field.qname for p in shape.parts if p.field.kind == "element"}
+    out = []
+    for part in (p for p in shape.parts if p.field.kind == "element"):
+        name, found = part.field.qname, []
+        for at, child in enumerate(node.children):
+            if at in taken:
+                continue
+            if _matches(child, name) or any(_matches(child, n) for n in part.names[1:] if child.tag not in exact or child.tag == name):
+                found.append(at)
+                if not part.repeated:
+                    break
+        taken.update(found)
+        out.append((part, found))
+    return out
+
+
+def _bind(out: dict, node: Node, value: str | None) -> str | None:
+    """The name with a prefix that is bound in the object's map as it is where it stands; a
+    prefix that the map has for another namespace, and none at all, give way to a new one."""
+    if value is None or not value.strip():
+        return value
+    prefix, local = prefixed(value.strip())
+    uri = node.ns.get(prefix, "")
+    bound = out.setdefault(BOUND, {})
+    if not uri or (prefix and bound.setdefault(prefix, uri) == uri):
+        return value
+    n = 0
+    while bound.setdefault(f"q{n}", uri) != uri:
+        n += 1
+    return f"q{n}:{local}"
+
+
+def read_object(node: Node, shape: Shape, sweep: bool = False) -> dict:
+    """sweep: keep what no field takes even without a wildcard, and the order."""
+    out: dict = {"_nil": False}
     order: list[tuple[int, str, int]] = []
     used: set[str] = set()
+    taken: set[int] = set()
     for part in shape.parts:
         f, column = part.field, part.column
         if f.kind == "attribute":
-            out[column] = node.attrs.get(f.qname)
             used.add(f.qname)
+            if part.slot.kind == "absent":
+                if f.qname in node.attrs:
+                    raise XsdFrameError(f"@{f.qname} is not among the paths that the plan was made for", "unseen")
+                continue
+            out[column] = node.attrs.get(f.qname)
+            if part.binds:
+                out[column] = _bind(out, node, out[column])
         elif f.kind == "text":
             out[column] = node.text if not shape.type.mixed or node.text.strip() or not node.children else None
-        else:
-            found = []
-            for at, child in enumerate(node.children):
-                if at in taken:
-                    continue
-                if _matches(child, f.qname) or any(
-                    _matches(child, n) for n in part.names[1:] if child.tag not in exact or child.tag == f.qname
-                ):
-                    found.append(at)
-                    if not part.repeated:
-                        break
-            taken.update(found)
-            order += [(at, column, k) for k, at in enumerate(found)]
-            values = [read_slot(node.children[at], part.slot) for at in found]
-            out[column] = values if part.repeated else values[0] if values else None
-    if shape.wild:
+            if part.binds:
+                out[column] = _bind(out, node, out[column])
+    for part, found in assigned(node, shape):
+        taken.update(found)
+        if part.slot.kind == "absent":
+            if found:
+                raise XsdFrameError(f"{part.field.qname} is not among the paths that the plan was made for", "unseen")
+            continue
+        order += [(at, part.column, k) for k, at in enumerate(found)]
+        values = [read_slot(node.children[at], part.slot) for at in found]
+        if part.binds:
+            for at, v in zip(found, values):
+                v["v"] = _bind(out, node.children[at], v["v"])
+        out[part.column] = values if part.repeated else values[0] if values else None
+    if shape.wild or sweep:
         extra: dict = {}
-        if any(w.kind == "anyAttribute" for w in shape.wild):
+        if sweep or any(w.kind == "anyAttribute" for w in shape.wild):
             extra |= {f"@{k}": v for k, v in node.attrs.items() if k not in used and not k.startswith(f"{{{XSI}}}")}
         seen: dict[str, int] = {}
         for at, child in enumerate(node.children):
@@ -114,11 +158,46 @@ def read_object(node: Node, shape: Shape) -> dict:
                 seen[key] = seen.get(key, 0) + 1
         attrs, elements = extra_parts(extra)
         out[EXTRA] = {"json": json.dumps(extra, ensure_ascii=False), "attributes": attrs, "elements": elements} if extra else None
-    if shape.ordered:
+    if shape.ordered or sweep:
         out[ORDER] = [{"key": k, "index": i} for _, k, i in sorted(order)]
+    if BOUND in out:
+        out[BOUND] = list(out[BOUND].items())
     return out
 
 
+def paths_of(node: Node, slot: Slot, path: str, out: set[str]) -> None:
+    """The paths of fields that a document uses."""
+    if slot.kind != "object" or is_nil(node):
+        return
+    shape = slot.shapes[_shape(node, slot)]
+    under = f"{path}." if path else ""
+    out.update(under + p.column for p in shape.parts if p.field.kind == "attribute" and p.field.qname in node.attrs)
+    for part, found in assigned(node, shape):
+        for at in found:
+            out.add(under + part.column)
+            paths_of(node.children[at], part.slot, under + part.column, out)
+
+
+def used_paths(root: str, slot: Slot):
+    """A function of an XML string column giving the paths of fields that each text uses."""
+
+    @F.arrow_udf(returnType="array<string>")
+    def used(xml: pa.Array) -> pa.Array:
+        rows = []
+        for text in xml.to_pylist():
+            found: set[str] = set()
+            try:
+                node = parse_xml(repair_tag_names(text)) if text is not None else None
+            except XsdFrameError:
+                node = None
+            if node is not None and node.tag == root:
+                paths_of(node, slot, "", found)
+            rows.append(sorted(found))
+        return pa.array(rows, pa.list_(pa.string()))
+
+    return used
+
+
 def shred_one(xml: str | None, root: str, slot: Slot) -> dict | None:
     """{doc, error} of one text; null for null. A wrong root or a malformed text is an error."""
     if xml is None:
@@ -131,7 +210,10 @@ def shred_one(xml: str | None, root: str, slot: Slot) -> dict | None:
         return {"doc": None, "error": f"root: Root element '{root}' not found"}
     if slot.kind == "open" and is_nil(node):
         return {"doc": None, "error": None}
-    return {"doc": read_slot(node, slot), "error": None}
+    try:
+        return {"doc": read_slot(node, slot), "error": None}
+    except XsdFrameError as e:
+        return {"doc": None, "error": f"{e.code}: {e}"}
 
 
 def raw_schema(slot: Slot) -> T.StructType:

@@ -9,7 +9,9 @@ a name of its own. Recursive types are unrolled to a depth; below, content is op
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import types as T
 
@@ -20,7 +22,7 @@ from .analyzer import ANY_TYPE, derived_types, substitution_members
 from .simple import SimplePlan, SimplePlans
 
 #: Columns beside the declared ones.
-TYPE, TAG, EXTRA, ORDER, NIL = "xsiType", "__qname", "_extra", "_order", "__nil"
+TYPE, TAG, EXTRA, ORDER, NIL, BOUND = "xsiType", "__qname", "_extra", "_order", "__nil", "_ns"
 
 #: Open content: as JSON to look into, and as the XML to write again.
 OPEN = T.StructType([T.StructField("json", T.StringType()), T.StructField("xml", T.StringType())])
@@ -46,6 +48,12 @@ class Part:
     def required(self) -> bool:
         return self.field.card.least > 0 and not self.forced_optional
 
+    @property
+    def binds(self) -> bool:
+        """Whether the value is a name with a prefix."""
+        simple = self.slot.simple
+        return self.slot.kind == "leaf" and simple.kind == "atomic" and simple.primitive in ("QName", "NOTATION")
+
 
 @dataclass
 class Shape:
@@ -63,13 +71,21 @@ class Shape:
 
 @dataclass
 class Slot:
-    """kind: leaf, object or open."""
+    """kind: leaf, object, open or absent (no document has it). An object's shapes are made
+    when they are first asked for, so only what is used of a large schema is unrolled."""
 
     kind: str
     simple: SimplePlan | None = None
-    shapes: list[Shape] = field(default_factory=list)
+    make: Callable[[], list[Shape]] | None = None
     by_tag: bool = False
-    leaf_tags: bool = False
+    leaf_tags: list[tuple[str, SimplePlan]] = field(default_factory=list)
+    _made: list[Shape] | None = None
+
+    @property
+    def shapes(self) -> list[Shape]:
+        if self._made is None:
+            self._made = self.make() if self.make else []
+        return self._made
 
     @property
     def polymorphic(self) -> bool:
@@ -79,16 +95,24 @@ class Slot:
         out: dict[str, Part] = {}
         for shape in self.shapes:
             for part in shape.parts:
-                out.setdefault(part.column, part)
+                if part.slot.kind != "absent":
+                    out.setdefault(part.column, part)
         return out
 
     @property
     def wild(self) -> bool:
-        return any(s.wild for s in self.shapes)
+        """Whether content that no field takes is kept: of wildcards, and of types that the
+        schema does not know."""
+        return self.polymorphic or any(s.wild for s in self.shapes)
 
     @property
     def ordered(self) -> bool:
-        return any(s.ordered for s in self.shapes)
+        return self.polymorphic or any(s.ordered for s in self.shapes)
+
+    @property
+    def binds(self) -> bool:
+        """Whether values of the object are names with prefixes, which must stay bound."""
+        return any(p.binds for s in self.shapes for p in s.parts)
 
     # Spark types
 
@@ -102,10 +126,15 @@ class Slot:
         for column, part in self.columns().items():
             kind = part.slot.spark()
             meta = {"qname": part.field.qname, "kind": part.field.kind, "type": part.field.type_name}
+            meta |= {k: True for k, v in (("open", part.slot.kind == "open"), ("nillable", part.field.nillable), ("qnameValue", part.binds)) if v}
+            if part.names[1:]:
+                meta["substitutes"] = part.names[1:]
             meta |= {k: v for k, v in (("default", part.field.default), ("fixed", part.field.fixed), ("comment", part.field.doc)) if v is not None}
             out.append(T.StructField(column, T.ArrayType(kind) if part.repeated else kind, True, meta))
             if part.field.nillable and not part.repeated:
                 out.append(T.StructField(column + NIL, T.BooleanType()))
+            if part.slot.leaf_tags:
+                out.append(T.StructField(column + TAG, T.ArrayType(T.StringType()) if part.repeated else T.StringType()))
         return T.StructType(out + self.extras())
 
     def extras(self) -> list[T.StructField]:
@@ -114,6 +143,8 @@ class Slot:
             out.append(T.StructField(TYPE, T.StringType()))
         if self.by_tag:
             out.append(T.StructField(TAG, T.StringType()))
+        if self.binds:
+            out.append(T.StructField(BOUND, T.MapType(T.StringType(), T.StringType())))
         if self.wild:
             out.append(T.StructField(EXTRA, EXTRAS))
         if self.ordered:
@@ -123,7 +154,8 @@ class Slot:
     def raw(self) -> T.DataType:
         """Of what the shredder gives: all leaves as strings, with nil flags."""
         if self.kind == "leaf":
-            return T.StructType([T.StructField("v", T.StringType()), T.StructField("nil", T.BooleanType())])
+            tag = [T.StructField("tag", T.StringType())] if self.leaf_tags else []
+            return T.StructType([T.StructField("v", T.StringType()), T.StructField("nil", T.BooleanType()), *tag])
         if self.kind == "open":
             return OPEN
         out = [T.StructField("_nil", T.BooleanType())]
@@ -141,8 +173,8 @@ class Slot:
 class Shaper:
     """Builds slots for a schema."""
 
-    def __init__(self, schema: Schema, simple: SimplePlans, depth: int, paths: set[str] | None = None):
-        self.schema, self.simple, self.depth, self.paths = schema, simple, depth, paths
+    def __init__(self, schema: Schema, simple: SimplePlans, depth: int, paths: set[str] | None = None, seen: set[str] | None = None):
+        self.schema, self.simple, self.depth, self.paths, self.seen = schema, simple, depth, paths, seen
         self.members, self.derived = substitution_members(schema), derived_types(schema)
 
     def root(self, element: Element) -> Slot:
@@ -161,7 +193,9 @@ class Shaper:
             if all(t in self.schema.complex for _, t in chosen):
                 return self._object([(t, m) for m, t in chosen], open, path, by_tag=True)
             if not any(t in self.schema.complex for _, t in chosen):
-                return Slot("leaf", self.simple.get(name) if name != ANY_TYPE else self.simple.get(f"{{{XSD}}}string"), leaf_tags=True)
+                string = f"{{{XSD}}}string"
+                tags = [(m, self.simple.get(t if t != ANY_TYPE else string)) for m, t in chosen]
+                return Slot("leaf", tags[-1][1], leaf_tags=tags)
             return Slot("open")
         if name in self.schema.complex:
             derived = [d for d in self.derived.get(name, []) if d in self.schema.complex]
@@ -174,7 +208,10 @@ class Shaper:
         deep = sum(o in {t for t, _ in types} for o in open)
         if deep >= self.depth:
             return Slot("open")
-        slot = Slot("object", by_tag=by_tag)
+        return Slot("object", make=partial(self._shapes, types, open, path), by_tag=by_tag)
+
+    def _shapes(self, types: list[tuple[str, str | None]], open: tuple[str, ...], path: str) -> list[Shape]:
+        shapes: list[Shape] = []
         taken: dict[str, tuple[str, str, bool]] = {}
         for name, selector in types:
             found = self.schema.complex[name]
@@ -187,10 +224,13 @@ class Shaper:
                 there = f"{path}.{column}" if path else column
                 if not self.wanted(there):
                     continue
-                inner = self._slot(f, (*open, name), there)
+                if self.seen is not None and there not in self.seen and f.kind != "text" and f.default is None and f.fixed is None:
+                    inner = Slot("absent")
+                else:
+                    inner = self._slot(f, (*open, name), there)
                 parts.append(Part(f, column, inner, [f.qname, *self.members.get(f.qname, [])] if f.kind == "element" else [f.qname], f.group in forced))
-            slot.shapes.append(Shape(found, parts, selector, order_matters(found, parts)))
-        return slot
+            shapes.append(Shape(found, parts, selector, order_matters(found, parts)))
+        return shapes
 
     def _slot(self, f: Field, open: tuple[str, ...], path: str) -> Slot:
         if f.kind != "element":

@@ -68,6 +68,11 @@ class SimplePlan:
     structured: bool = False
     decimal: bool = False
 
+    @property
+    def clean(self) -> bool:
+        """Whether typed values are written without any character that XML escapes."""
+        return self.kind == "atomic" and (self.primitive in INTEGERS or self.primitive in ("boolean", "float", "double", "decimal") or self.structured)
+
     # White space
 
     def spaced(self, c: Column) -> Column:

@@ -139,7 +139,7 @@ def parse_order_lines(spark, sf_dir):
 
 
 @query("""
-    SELECT n_nationkey AS k, '<ns0:nation xmlns:ns0="urn:sales" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" key="' || n_nationkey || '"><ns0:name>'
+    SELECT n_nationkey AS k, '<ns0:nation xmlns:ns0="urn:sales" key="' || n_nationkey || '"><ns0:name>'
            || n_name || '</ns0:name><ns0:region>' || n_regionkey || '</ns0:region></ns0:nation>' AS xml FROM nation""")
 def serialize_nation(spark, sf_dir):
     """Typed rows to XML text."""
