@@ -241,7 +241,7 @@ def _arrays(pieces: list[_Pieces]) -> list[Column]:
 
 
 #: What the document's own prefixes look like.
-OWN_PREFIX = r"\A\s*(ns[0-9]+|xsi|xt|xml):"
+OWN_PREFIX = r"\A\s*(ns[0-9]+|xsi|xt):"
 
 
 def _declaration(e: Column) -> Column:
