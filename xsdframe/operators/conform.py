@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,14 +75,15 @@ def violations(spark: SparkSession, xml: str, xsd: str) -> list[Violation]:
 
 def aggregate(paths: list[str], into: str) -> str:
     """Write a schema that imports all the given ones, as validators take a single one; its
-    path. If one has no namespace, the wrapper gets one of its own."""
-    spaces = [(read_schema(p).namespace, os.path.abspath(p)) for p in paths]
-    quote = lambda s: s.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
-    own = ' targetNamespace="urn:xsdframe:set"' if any(not n for n, _ in spaces) else ""
-    lines = [f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"{own}>']
-    for namespace, path in spaces:
-        named = f' namespace="{quote(namespace)}"' if namespace else ""
-        lines.append(f'  <xs:import{named} schemaLocation="{quote(path)}"/>')
-    with open(into, "w", encoding="utf-8") as f:
-        f.write("\n".join([*lines, "</xs:schema>\n"]))
+    path. An importing schema's own namespace must differ from those that it imports, so where
+    one of them has none the set has one."""
+    xs = "{http://www.w3.org/2001/XMLSchema}"
+    whole = ElementTree.Element(f"{xs}schema")
+    for path in paths:
+        place = ElementTree.SubElement(whole, f"{xs}import", schemaLocation=os.path.abspath(path))
+        if namespace := read_schema(path).namespace:
+            place.set("namespace", namespace)
+        else:
+            whole.set("targetNamespace", "urn:xsdframe:set")
+    ElementTree.ElementTree(whole).write(into, encoding="utf-8", xml_declaration=True)
     return into

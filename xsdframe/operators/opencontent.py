@@ -5,7 +5,7 @@ Both are made where a document is read, so writing it again needs no Python.
 
 from __future__ import annotations
 
-from ..qname import XML, XSI, try_split
+from ..qname import XML, XSI, split
 from ..sources.xmltree import Node
 
 
@@ -27,6 +27,11 @@ def open_value(node: Node):
     return out
 
 
+def _parts(key: str) -> tuple[str, str]:
+    """(namespace, name) of a key, which may be a plain name."""
+    return split(key) if key.startswith("{") else ("", key)
+
+
 def py_escape(text: str, attribute: bool) -> str:
     text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#xD;")
     return text.replace('"', "&quot;").replace("\t", "&#x9;").replace("\n", "&#xA;") if attribute else text
@@ -36,14 +41,14 @@ def open_xml(key: str, value) -> str:
     """Open content (see open_value) as elements; each declares its own namespace."""
     if isinstance(value, list):
         return "".join(open_xml(key, v) for v in value)
-    namespace, name = try_split(key) or ("", key)
+    namespace, name = _parts(key)
     head = f' xmlns="{py_escape(namespace, True)}"'
     if not isinstance(value, dict):
         return f"<{name}{head}>{py_escape('' if value is None else str(value), False)}</{name}>"
     attrs, number = "", 0
     for k, v in value.items():
         if k.startswith("@"):
-            ns, local = try_split(k[1:]) or ("", k[1:])
+            ns, local = _parts(k[1:])
             if ns == XML:
                 local = f"xml:{local}"
             elif ns:
@@ -59,7 +64,7 @@ def extra_parts(found: dict) -> tuple[str, list[dict]]:
     attrs, elements = "", []
     for number, (k, value) in enumerate(found.items()):
         if k.startswith("@"):
-            ns, local = try_split(k[1:]) or ("", k[1:])
+            ns, local = _parts(k[1:])
             if ns == XML:
                 attrs += f' xml:{local}="{py_escape(value, True)}"'
             elif ns:

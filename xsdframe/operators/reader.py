@@ -13,7 +13,7 @@ from ..functions import F, let
 from ..ir import Field
 from ..plans.shapes import BOUND, EXTRA, NIL, ORDER, TAG, TYPE, Part, Shape, Slot
 from ..plans.simple import SimplePlan
-from .choice import Choices
+from . import choice
 
 ISSUE = "struct<path:string,code:string,message:string,channel:string>"
 
@@ -175,7 +175,7 @@ def _shape_issues(shape: Shape, raw: Column, path: str) -> Column:
         return F.coalesce(F.size(value) > 0, F.lit(False)) if part.repeated else value.isNotNull()
 
     fields = [p.field for p in shape.parts if p.field.kind == "element"]
-    checks = [_issue(ok, path, "choice", message, "schema") for ok, message in Choices(shape.type, fields, has).checks()]
+    checks = [_issue(ok, path, "choice", message, "schema") for ok, message in choice.checks(shape.type, fields, has)]
     if checks:
         out.append(_list(checks))
     none = F.array().cast(f"array<{ISSUE}>")

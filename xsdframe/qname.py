@@ -19,10 +19,6 @@ def split(name: str) -> tuple[str, str]:
     return namespace, local
 
 
-def try_split(name: str) -> tuple[str, str] | None:
-    return split(name) if name.startswith("{") and "}" in name else None
-
-
 def local(name: str) -> str:
     """The local part; a plain name is its own."""
     return name.rpartition("}")[2]

@@ -7,6 +7,8 @@ the columns by DuckDB. Each reads its whole tables.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the folder that driver and executors share; in local mode, where none is
+    told, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="xsdframe-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def plan(root: str, **options) -> engine.Plan:
     return engine.compile(engine.load_xsd(SALES), root, **options)
 
@@ -442,13 +455,10 @@ def mixed_text(spark, sf_dir):
     SELECT o_orderkey AS k, l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def node_table(spark, sf_dir):
     """All elements of documents as rows, with parents; no schema is needed."""
-    xml = lines_xml(spark, sf_dir).withColumn("doc", F.monotonically_increasing_id())
-    node = xml.select("doc", F.explode(shred.nodes(F.col("xml"))).alias("n")).select("doc", "n.*")
-    node = node.where(F.col("depth") <= 2)
-    grouped = node.groupBy("doc").agg(F.collect_list(F.struct("ord", "parent", "qname", "value", "attributes")).alias("nodes"))
-    one = grouped.select("nodes", F.explode(F.filter("nodes", lambda n: n["qname"] == f"{{{NS}}}line")).alias("line"))
+    nodes = lines_xml(spark, sf_dir).select(shred.nodes(F.col("xml")).alias("nodes"))
+    one = nodes.select("nodes", F.explode(F.filter("nodes", lambda n: n["qname"] == f"{{{NS}}}line")).alias("line"))
     part = F.get(F.filter("nodes", lambda n: (n["parent"] == F.col("line.ord")) & (n["qname"] == f"{{{NS}}}part")), F.lit(0))["value"]
-    root = F.get(F.filter("nodes", lambda n: n["parent"] == -1), F.lit(0))["attributes"]["{}id"]
+    root = F.get("nodes", F.lit(0))["attributes"]["{}id"]
     return one.select(root.cast("long").alias("k"), F.col("line.attributes")["{}number"].cast("int").alias("n"), part.alias("part"))
 
 
@@ -481,11 +491,7 @@ def schema_catalog(spark, sf_dir):
 @query(ORDER_SQL)
 def stream_parse(spark, sf_dir):
     """The same plan on a stream: orders are read as a stream, parsed, and written once."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="xsdframe-")
-    out, work = f"{base}/stream-{uuid.uuid4().hex}", f"{base}/stream-{uuid.uuid4().hex}"
+    out, work = shared_path(spark, "stream"), shared_path(spark, "stream")
     schema = table(spark, sf_dir, "orders").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     day = F.date_format("o_orderdate", "yyyy-MM-dd")

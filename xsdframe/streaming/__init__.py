@@ -32,12 +32,17 @@ def parse_stream(stream: DataFrame, column: str, plan: Plan, into: str = "doc")
 
 def write_split(parsed: DataFrame, good: str, bad: str, checkpoint: str, into: str = "doc") -> StreamingQuery:
     """Documents without violations go to `good`, the others with their violations to `bad`,
-    both as Parquet, in one pass over each batch; runs until all input there is is done."""
+    both as Parquet, in one pass over each batch; runs until all input there is is done.
 
-    def split(batch: DataFrame, _: int) -> None:
+    Each batch has folders of its own (batch=N, a column when the tables are read), which a
+    batch that is run again after a failure replaces, so no document is written twice."""
+
+    def split(batch: DataFrame, number: int) -> None:
         batch.persist()
-        batch.where(F.size("_issues") == 0).drop("_issues").write.mode("append").parquet(good)
-        batch.where(F.size("_issues") > 0).drop(into).write.mode("append").parquet(bad)
-        batch.unpersist()
+        try:
+            batch.where(F.size("_issues") == 0).drop("_issues").write.mode("overwrite").parquet(f"{good}/batch={number}")
+            batch.where(F.size("_issues") > 0).drop(into).write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return parsed.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
