@@ -74,8 +74,8 @@ class Choice:
 
     @property
     def asks(self) -> bool:
-        """Whether any document could fail it."""
-        return bool(self.branches) and not self.open and not (self.repeated and self.optional)
+        """Whether any document could fail it. A choice of one branch is that branch's own matter."""
+        return len(self.branches) > 1 and not self.open and not (self.repeated and self.optional)
 
     def _larger(self, k: int) -> list[int]:
         """Branches that have all names of the k-th; of equal ones the first counts."""

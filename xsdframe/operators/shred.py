@@ -138,6 +138,8 @@ def read_object(node: Node, shape: Shape, sweep: bool = False) -> dict:
             if found:
                 raise XsdFrameError(f"{part.field.qname} is not among the paths that the plan was made for", "unseen")
             continue
+        if not found and part.column in out:
+            continue  # another branch of a choice has the same field, and took what there is
         order += [(at, part.column, k) for k, at in enumerate(found)]
         values = [read_slot(node.children[at], part.slot) for at in found]
         if part.binds:
