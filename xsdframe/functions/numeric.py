@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from .sql import F, let
 
@@ -12,8 +14,12 @@ DECIMAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 FLOAT = rf"{DECIMAL}(?:[eE][+-]?[0-9]+)?"
 
 
+#: Digits that DECIMAL(38,18) holds on either side of the point.
+FITS = 18
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def to_boolean(c: Column) -> Column:
@@ -65,6 +71,29 @@ def decimal_compare(a: Column, b: Column) -> Column:
     return let(F.struct(_parts(a).alias("x"), _parts(b).alias("y")), order)
 
 
+def within(c: Column, name: str, bound: str) -> Column:
+    """Whether a decimal lexical keeps an order facet (minInclusive and the like), exactly; null
+    if it is no decimal lexical. Numbers of usual length are compared as Spark decimals."""
+    way = {"minInclusive": lambda x, y: x >= y, "maxInclusive": lambda x, y: x <= y, "minExclusive": lambda x, y: x > y, "maxExclusive": lambda x, y: x < y}[name]
+    exact = way(decimal_compare(c, F.lit(bound)), 0)
+    if len(bound) > FITS or not re.fullmatch(DECIMAL, bound):
+        return exact
+    t = trimmed(c)
+    short = full(t, DECIMAL) & (F.length(t) <= FITS)
+    return F.when(short, way(t.try_cast(f"decimal(38,{FITS})"), F.lit(bound).cast(f"decimal(38,{FITS})"))).otherwise(exact)
+
+
+def in_range(c: Column, low: int | None, high: int | None) -> tuple[Column | None, Column | None]:
+    """Whether an integer lexical keeps the least and the largest value of its type; null for
+    other lexicals. Beyond what a Spark decimal holds the sign tells."""
+    t = trimmed(c)
+    n, minus = t.try_cast("decimal(38,0)"), t.startswith("-")
+    number = lambda v: F.lit(str(v)).cast("decimal(38,0)")
+    least = None if low is None else F.when(full(t, INTEGER), F.coalesce(n >= number(low), ~minus))
+    most = None if high is None else F.when(full(t, INTEGER), F.coalesce(n <= number(high), minus))
+    return least, most
+
+
 def total_digits(c: Column) -> Column:
     """How many digits a decimal lexical has: trailing zeros of an integer count, leading
     zeros do not, nor do zeros between the point and the first digit of a pure fraction."""

@@ -26,7 +26,7 @@ _NIL, _TYPE = f"{{{XSI}}}nil", f"{{{XSI}}}type"
 
 
 def is_nil(node: Node) -> bool:
-    return node.attrs.get(_NIL, "").strip() in ("true", "1")
+    return bool(node.attrs) and node.attrs.get(_NIL, "").strip() in ("true", "1")
 
 
 def _matches(child: Node, name: str) -> bool:
@@ -78,18 +78,26 @@ def read_slot(node: Node, slot: Slot):
 def assigned(node: Node, shape: Shape) -> list[tuple[Part, list[int]]]:
     """Which children each element field takes: all with its name, or the first; an exact name
     goes before a substitution."""
+    kids, out = node.children, []
+    if not kids:
+        return [(part, []) for part in shape.elements]
+    by_tag: dict[str, list[int]] = {}
+    for at, child in enumerate(kids):
+        by_tag.setdefault(child.tag, []).append(at)
     taken: set[int] = set()
-    exact = {p.field.qname for p in shape.parts if p.field.kind == "element"}
-    out = []
-    for part in (p for p in shape.parts if p.field.kind == "element"):
-        name, found = part.field.qname, []
-        for at, child in enumerate(node.children):
-            if at in taken:
-                continue
-            if _matches(child, name) or any(_matches(child, n) for n in part.names[1:] if child.tag not in exact or child.tag == name):
-                found.append(at)
-                if not part.repeated:
-                    break
+    for part in shape.elements:
+        name = part.field.qname
+        if len(part.names) == 1 and not name.startswith("{}"):
+            fit = by_tag.get(name, [])
+        else:
+            others = part.names[1:]
+            fit = [
+                at for at, child in enumerate(kids)
+                if _matches(child, name) or any(_matches(child, n) for n in others if child.tag not in shape.element_names or child.tag == name)
+            ]
+        found = [at for at in fit if at not in taken]
+        if not part.repeated:
+            found = found[:1]
         taken.update(found)
         out.append((part, found))
     return out

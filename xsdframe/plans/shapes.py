@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import types as T
 
@@ -68,6 +68,14 @@ class Shape:
     def wild(self) -> list[Wildcard]:
         return self.type.wildcards
 
+    @cached_property
+    def elements(self) -> list[Part]:
+        return [p for p in self.parts if p.field.kind == "element"]
+
+    @cached_property
+    def element_names(self) -> set[str]:
+        return {p.field.qname for p in self.elements}
+
 
 @dataclass
 class Slot:

@@ -155,9 +155,9 @@ class SimplePlan:
             low, high, _ = INTEGERS[p]
             out.append(("lexical", lambda c: lexical.full(numeric.trimmed(c), numeric.INTEGER), f"not a lexical of {p}"))
             if low is not None:
-                out.append(("range", lambda c: F.coalesce(numeric.decimal_compare(c, F.lit(str(low))) >= 0, F.lit(True)), f"less than {low}"))
+                out.append(("range", lambda c: numeric.in_range(c, low, None)[0], f"less than {low}"))
             if high is not None:
-                out.append(("range", lambda c: F.coalesce(numeric.decimal_compare(c, F.lit(str(high))) <= 0, F.lit(True)), f"greater than {high}"))
+                out.append(("range", lambda c: numeric.in_range(c, None, high)[1], f"greater than {high}"))
         elif p == "boolean":
             out.append(("lexical", lambda c: numeric.trimmed(c).isin("true", "false", "1", "0"), "not a lexical of boolean"))
         elif p in ("float", "double", "decimal"):
@@ -223,7 +223,7 @@ class SimplePlan:
                 return ~F.isnan(v) & way(F.when(v < b, -1).when(v > b, 1).otherwise(0))
             return test
         # A lexical with an exponent cannot be ordered exactly and fails.
-        return lambda c: F.coalesce(way(numeric.decimal_compare(c, F.lit(told))), F.lit(False))
+        return lambda c: F.coalesce(numeric.within(c, name, told), F.lit(False))
 
     def _length(self, name: str, n: int):
         """Characters, octets of binary types, items of lists; QNames have no length."""

@@ -88,7 +88,8 @@ def parse_xml(xml: str | bytes) -> Node:
     parser.buffer_text = True
     root: list[Node] = []
     stack: list[Node] = []
-    scopes: list[dict[str, str]] = [{"xml": XML, "": ""}]
+    # Of each scope: the prefixes, and the names of elements and of attributes met in it.
+    scopes: list[tuple[dict[str, str], dict[str, str], dict[str, str]]] = [({"xml": XML, "": ""}, {}, {})]
     in_cdata = False
 
     def name(raw: str, scope: dict[str, str], attribute: bool) -> str:
@@ -100,16 +101,27 @@ def parse_xml(xml: str | bytes) -> Node:
         return clark(scope[prefix], local)
 
     def start(raw: str, given: list[str]) -> None:
-        pairs = list(zip(given[::2], given[1::2]))
-        scope = scopes[-1]
-        declared = {k[6:] if k != "xmlns" else "": v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")}
-        if declared:
-            scope = {**scope, **declared}
-        attrs = {name(k, scope, True): v for k, v in pairs if k != "xmlns" and not k.startswith("xmlns:")}
-        node = Node(name(raw, scope, False), attrs, scope, raw.partition(":")[0] if ":" in raw else "")
+        held = scopes[-1]
+        attrs: dict[str, str] = {}
+        if given:
+            pairs = list(zip(given[::2], given[1::2]))
+            declared = {k[6:] if k != "xmlns" else "": v for k, v in pairs if k.startswith("xmlns") and (k == "xmlns" or k[5] == ":")}
+            if declared:
+                held = ({**held[0], **declared}, {}, {})
+            known = held[2]
+            for k, v in pairs:
+                if not (k.startswith("xmlns") and (k == "xmlns" or k[5] == ":")):
+                    told = known.get(k)
+                    if told is None:
+                        told = known[k] = name(k, held[0], True)
+                    attrs[told] = v
+        tag = held[1].get(raw)
+        if tag is None:
+            tag = held[1][raw] = name(raw, held[0], False)
+        node = Node(tag, attrs, held[0], raw.partition(":")[0] if ":" in raw else "")
         (stack[-1].children if stack else root).append(node)
         stack.append(node)
-        scopes.append(scope)
+        scopes.append(held)
 
     def end(_: str) -> None:
         stack.pop()
