@@ -87,7 +87,7 @@ def test_recall_against_brute_force(spark):
     copies = np.repeat(base[9_600:9_601], 300, 0)
     x = np.concatenate([base, *pairs, group, copies]).astype(np.float32)
     x = x[rng.permutation(len(x))]
-    assert len(x) == 24_000 and pr.layout(len(x))[0] == 7
+    assert len(x) == 24_000 and pr.layout(len(x))[0] == 8
     u = pr.unit(x)
     near = np.concatenate([u[k : k + 2000] @ u.T >= 0.95 for k in range(0, len(u), 2000)])
     np.fill_diagonal(near, False)

@@ -40,10 +40,10 @@ from .graph import components
 
 THRESHOLD, LISTS, WINDOW, MISS_COUNT, MISS_CELL, BLOCK, SEED = 0.95, 24, 2.0, 1e-4, 8e-4, 2048, 17
 #: Vectors in a cell, about.
-CELL = 256
+CELL = 128
 #: Steps of a projection's byte in one unit, lines whose windows are searched before pairs
 #: that cannot reach the count are left, and collisions that are counted at once.
-STEPS, EARLY, AT_ONCE = 30, 14, 1 << 22
+STEPS, EARLY, AT_ONCE = 30, 16, 1 << 22
 
 
 def calibrated(threshold: float = THRESHOLD, lists: int = LISTS, window: float = WINDOW, miss: float = MISS_COUNT) -> tuple[float, int]:
@@ -286,6 +286,8 @@ def found_links(chosen: DataFrame, bits: int, tables: int, kind: type, threshold
         x = np.concatenate([v for r in rows for _, v in _vectors(r, 7, kind)])
         key, first, weight = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in (4, 5, 6))
         second = _split(head[2], np.concatenate([r.column(3).to_numpy(zero_copy_only=False) for r in rows]))
+        by = np.argsort(first, kind="stable")  # so the stars of all cells have the same centres
+        x, key, first, weight, second = x[by], key[by], first[by], weight[by], second[by]
         u, table = unit(x), head[1] >> 32
         codes = cell_codes(u, bits, tables)[:, :table]
         i, j, out = *passing(projected(u), second, reach, least), []
