@@ -163,6 +163,45 @@ def test_command_line(tmp_path, capsys):
     assert main(["compile", str(tmp_path / "gone.xsd")]) == 1 and "unreadable" in capsys.readouterr().err
 
 
+def test_bundles_keep_prefixes(tmp_path):
+    """Prefixes of dependencies are declared; what one schema element cannot say is an error."""
+    schema_of(tmp_path, '<x:simpleType name="S"><x:restriction base="x:int"/></x:simpleType>', "other.xsd", '<x:schema xmlns:x="http://www.w3.org/2001/XMLSchema" xmlns:me="urn:t" targetNamespace="urn:t">')
+    path = tmp_path / "other.xsd"
+    path.write_text(path.read_text().replace("</xs:schema>", "</x:schema>"))
+    entry = schema_of(tmp_path, '<xs:include schemaLocation="other.xsd"/><xs:element name="r" type="t:S"/>', "entry.xsd")
+    out = tmp_path / "whole.xsd"
+    out.write_text(loader.bundle(entry))
+    schema = engine.load_xsd(str(out))
+    assert schema.elements["{urn:t}r"].type_name == "{urn:t}S" and schema.simple["{urn:t}S"].base.endswith("}int") and not schema.diagnostics
+    schema_of(tmp_path, "", "clash.xsd", HEAD.replace("xmlns:t=", 'xmlns:z="urn:z" xmlns:t='))
+    clash = schema_of(tmp_path, '<xs:include schemaLocation="clash.xsd"/>', "e2.xsd", HEAD.replace("xmlns:t=", 'xmlns:z="urn:y" xmlns:t='))
+    with pytest.raises(XsdFrameError) as e:
+        loader.bundle(clash)
+    assert e.value.code == "bundle-prefix"
+    schema_of(tmp_path, "", "far.xsd", HEAD.replace('targetNamespace="urn:t"', 'targetNamespace="urn:far"'))
+    with pytest.raises(XsdFrameError) as e:
+        loader.bundle(schema_of(tmp_path, '<xs:import namespace="urn:far" schemaLocation="far.xsd"/>', "e3.xsd"))
+    assert e.value.code == "bundle-namespace"
+
+
+def test_validate_command(spark, tmp_path, capsys):
+    good = tmp_path / "good.xml"
+    good.write_text('<nation xmlns="urn:sales" key="1"><name>x</name><region>2</region></nation>')
+    bad = tmp_path / "bad.xml"
+    bad.write_text(good.read_text().replace(">2<", ">b<"))
+    assert main(["validate", str(good), "--xsd", SALES]) == 0 and json.loads(capsys.readouterr().out)["region"] == 2
+    assert main(["validate", str(bad), "--xsd", SALES]) == 1 and "/nation/region" in capsys.readouterr().err
+    assert main(["validate", str(good), "--xsd", SALES, "-e", "strict"]) == 0
+    assert main(["validate", str(bad), "--xsd", SALES, "-e", "strict"]) == 1 and "line 1" in capsys.readouterr().err
+    assert main(["validate", str(tmp_path / "none.xml"), "--xsd", SALES]) == 1
+
+
+def test_fixed_values_are_written_as_declared(spark, tmp_path):
+    path = schema_of(tmp_path, '<xs:element name="r"><xs:complexType><xs:sequence><xs:element name="n" type="xs:decimal" fixed="1.50"/></xs:sequence></xs:complexType></xs:element>')
+    p, df = parsed(spark, path, "r", '<r xmlns="urn:t"><n>1.5</n></r>', '<r xmlns="urn:t"><n/></r>')
+    assert [r.out for r in engine.to_xml(df, "doc", p, "out").collect()] == ['<ns0:r xmlns:ns0="urn:t"><ns0:n>1.50</ns0:n></ns0:r>'] * 2
+
+
 def test_plan_is_stateless_and_pruned(spark):
     p = engine.compile(engine.load_xsd(SALES), "order", paths=["line.part"])
     assert p.spark_type().simpleString() == "struct<line:array<struct<part:bigint>>>"

@@ -79,6 +79,8 @@ class Writer:
 
     def leaf(self, part: Part, v: Column, raw: Column | None) -> Column:
         plan = part.slot.simple
+        if part.field.fixed is not None:  # its only lexical, as the schema has it
+            return F.when(v.isNotNull(), F.lit(part.field.fixed))
         text = plan.text(v)
         if raw is not None:
             told = raw if part.field.kind != "element" else raw["v"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from html import escape
 
 from ..errors import XsdFrameError
 from ..qname import XML, XSD, clark
@@ -132,14 +133,29 @@ def dependencies(entry: str) -> list[str]:
 
 
 def bundle(entry: str) -> str:
-    """The entry with the bodies of all its dependencies in place of its references. Bodies
-    keep their own prefixes only if the entry declares the same ones."""
-    bodies, head, tail = [], "", ""
+    """The entry with the bodies of all its dependencies in place of its references.
+
+    Prefixes that only a dependency declares are declared for the whole. A dependency that
+    means something else by a prefix, or has another target namespace, cannot stand in the
+    same schema element: that is an error."""
+    own = read_schema(entry)
+    bound = {p: uri for p, uri in own.root.ns.items() if p != "xml"}
+    bodies, head, tail, more = [], "", "", {}
     for path in dependencies(entry):
         text = re.sub(r"<!--.*?-->", "", decode_xml(read_bytes(path)), flags=re.DOTALL)
         opened = re.search(r"<((?:[\w.-]+:)?)schema\b[^>]*>", text)
         if not opened:
             continue
+        there = read_schema(path)
+        if there.namespace not in ("", own.namespace):
+            raise XsdFrameError(f"{path} is of namespace {there.namespace}, which one schema element cannot hold beside {own.namespace}", "bundle-namespace", path)
+        for prefix, uri in there.root.ns.items():
+            if prefix == "xml" or (not prefix and not uri):
+                continue
+            if bound.setdefault(prefix, uri) != uri:
+                raise XsdFrameError(f"{path} binds {prefix or 'the default prefix'} to {uri}, others to {bound[prefix]}", "bundle-prefix", path)
+            if prefix and prefix not in own.root.ns:
+                more[prefix] = uri
         close = f"</{opened[1]}schema>"
         body = text[opened.end() : text.rfind(close)] if close in text else ""
         refs = "|".join(REFERENCES)
@@ -148,4 +164,6 @@ def bundle(entry: str) -> str:
         bodies.append(body.strip())
         if path == entry or os.path.realpath(path) == os.path.realpath(entry):
             head, tail = opened[0], close
+    added = "".join(f' xmlns:{p}="{escape(uri, quote=True)}"' for p, uri in more.items())
+    head = re.sub(r"\s*/?>\Z", lambda m: added + m[0], head)
     return f'<?xml version="1.0" encoding="UTF-8"?>\n{head}\n' + "\n".join(b for b in bodies if b) + f"\n{tail}\n"
