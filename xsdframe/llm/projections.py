@@ -289,12 +289,14 @@ def found_links(chosen: DataFrame, bits: int, tables: int, kind: type, threshold
         by = np.argsort(first, kind="stable")  # so the stars of all cells have the same centres
         x, key, first, weight, second = x[by], key[by], first[by], weight[by], second[by]
         u, table = unit(x), head[1] >> 32
-        codes = cell_codes(u, bits, tables)[:, :table]
+        codes = cell_codes(u, bits, tables).T
         i, j, out = *passing(projected(u), second, reach, least), []
-        for s in range(0, len(i), 1 << 15):
-            a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+        for earlier in codes[:table]:  # pairs that share an earlier cell count there
+            fresh = earlier[i] != earlier[j]
+            i, j = i[fresh], j[fresh]
+        for s in range(0, len(i), 1 << 13):
+            a, b = i[s : s + (1 << 13)], j[s : s + (1 << 13)]
             near = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-            near[near] = ~(codes[a[near]] == codes[b[near]]).any(1)  # else it counts in an earlier table
             out.append((a[near], b[near]))
         if not out or not sum(len(a) for a, _ in out):
             return None
