@@ -26,8 +26,9 @@ from .common import map_slices, materialise, pick, shuffle_parts, tune
 from .spans import tokenizer_encoder
 
 BUCKETS, DIMS, BITS, TIE_BITS, SEED = 256, 4, 8, 24, 7
-#: Ids in a range: so many at least, where there are, and so many at most, about.
-LEAST_IDS, MOST_IDS = 1 << 18, 1 << 25
+#: Ids in a range: so many at least, where there are, and so many at most, about. Ranges for
+#: each shuffle partition.
+LEAST_IDS, MOST_IDS, SPREAD = 1 << 18, 1 << 25, 16
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -111,9 +112,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, wide: bool, text: str
 
 
 def ranges_for(total: int, parts: int) -> int:
-    """How many ranges the order is cut into: about one for each shuffle partition, with no
-    fewer than LEAST_IDS ids each where that can be, and never more than MOST_IDS."""
-    return max(1, min(parts, total // LEAST_IDS), -(-total // MOST_IDS))
+    """How many ranges the order is cut into: some for each shuffle partition, as they are dealt
+    by hash, with no fewer than LEAST_IDS ids each where that can be, and never more than
+    MOST_IDS."""
+    return max(1, min(SPREAD * parts, total // LEAST_IDS), -(-total // MOST_IDS))
 
 
 def _placed(table: DataFrame) -> DataFrame:
