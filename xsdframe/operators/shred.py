@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..errors import XsdFrameError
 from ..plans.shapes import BOUND, EXTRA, ORDER, TAG, TYPE, Part, Shape, Slot
 from ..qname import XSI, prefixed, split
-from ..sources.xmltree import Node, parse_xml, repair_tag_names
+from ..sources.xmltree import Node, decode_xml, parse_xml, repair_tag_names
 from .opencontent import extra_parts, open_value, open_xml
 
 _NIL, _TYPE = f"{{{XSI}}}nil", f"{{{XSI}}}type"
@@ -243,6 +243,16 @@ def shredder(root: str, slot: Slot):
     return shred.asNondeterministic()
 
 
+def decoded(content: Column) -> Column:
+    """The text of a column of XML files' bytes, by each file's own encoding."""
+
+    @F.arrow_udf(returnType="string")
+    def decode(data: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else decode_xml(b) for b in data.to_pylist()], pa.string())
+
+    return decode(content)
+
+
 def shred(xml: Column, root: str, slot: Slot) -> Column:
     return shredder(root, slot)(xml)
 

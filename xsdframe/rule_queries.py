@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .functions import datetimes, lexical
+from .operators.shred import decoded
 from .operators.writer import escape_text
 from .queries import NS, at, doc, el, money, query, spread, table, txt
 
@@ -337,3 +338,75 @@ def lex_more(spark, sf_dir):
         lexical.xsd_gyearmonth(F.format_string("2024-%02d", (k % 14).cast("int"))).alias("year_month"),
         lexical.xsd_hex_binary(F.concat(F.lit("0f"), F.when(k % 2 == 1, "A9").otherwise("A"))).alias("hex"),
     )
+
+
+# Names, files, numbers
+
+SCOPED = os.path.join(os.path.dirname(__file__), "examples", "scoped.xsd")
+
+
+def scoped(**options) -> engine.Plan:
+    return engine.compile(engine.load_xsd(SCOPED, allow_missing_imports=True), "scoped", **options)
+
+
+@query("""
+    SELECT s_suppkey AS k, s_nationkey AS n, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS INT) AS times, 's' || s_nationkey AS own,
+           CASE WHEN s_suppkey % 3 = 0 THEN CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) END AS other, CASE WHEN s_suppkey % 5 = 0 THEN s_name END AS unknown
+    FROM supplier""")
+def schema_scopes(spark, sf_dir):
+    """Names of a schema resolve by the default namespace and by prefixes bound where they stand;
+    neighbours of one name are one repeated field, equal keys of two namespaces get numbers, and
+    an element that no file declares is open content."""
+    k = F.col("s_suppkey")
+    other = F.when(k % 3 == 0, F.concat(F.lit('<b xmlns="urn:other">'), money("s_acctbal"), F.lit("</b>"))).otherwise("")
+    gone = F.when(k % 5 == 0, F.concat(F.lit('<g:part xmlns:g="urn:gone">'), escape_text(F.col("s_name")), F.lit("</g:part>"))).otherwise("")
+    again_ = F.when(k % 2 == 0, "<a>2</a>").otherwise("")
+    parts = [F.lit("<flag>1</flag>"), el("inner", txt("n", F.col("s_nationkey"))), F.lit("<a>1</a>"), again_, el("b", F.concat(F.lit("s"), F.col("s_nationkey").cast("string"))), other, gone]
+    p = scoped()
+    once = engine.safe_parse_xml(rows_of(spark, sf_dir, "supplier", "s_suppkey", "scoped", *parts), "xml", p).select("k", "doc")
+    got = engine.safe_parse_xml(engine.to_xml(once, "doc", p, "out").drop("doc"), "out", p)
+    return got.select("k", got.doc.inner.n.alias("n"), F.size(got.doc.a).alias("times"), got.doc.b.alias("own"), got.doc.b2.alias("other"), F.regexp_extract("doc.part.json", r'\A"(.*)"\z', 1).alias("unknown"))
+
+
+@query("""
+    SELECT c_custkey AS k, c_custkey % 6 IN (0, 1, 4) AS flag, c_custkey % 6 = 5 AS bad FROM customer""")
+def booleans(spark, sf_dir):
+    """true, 1, false and 0 with white space around are booleans, nothing else is."""
+    told = F.element_at(F.array(*(F.lit(x) for x in ("true", " 1 ", "false", "0", "\ttrue\n", "yes"))), F.pmod(F.col("c_custkey"), F.lit(6)).cast("int") + 1)
+    xml = rows_of(spark, sf_dir, "customer", "c_custkey", "scoped", txt("flag", told), F.lit("<inner><n>1</n></inner><a>1</a><b>x</b>"))
+    loose = engine.safe_parse_xml(xml, "xml", scoped(), validate=False)
+    strict = engine.safe_parse_xml(loose.select("k", "xml", F.coalesce("doc.flag", F.lit(False)).alias("flag")), "xml", scoped(paths=["flag"]))
+    return strict.select("k", "flag", F.exists("_issues", lambda i: i["code"] == "lexical").alias("bad"))
+
+
+@query("""
+    SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'INF' WHEN 1 THEN '-INF' WHEN 2 THEN 'NaN' WHEN 3 THEN '-0' WHEN 4 THEN CAST(p_size AS VARCHAR)
+           ELSE rtrim(rtrim(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '0'), '.') END AS written FROM part""")
+def canon_numbers(spark, sf_dir):
+    """Floating point numbers in their canonical text: specials, minus zero, no needless digits."""
+    k = F.col("p_partkey") % 6
+    value = F.when(k == 0, "INF").when(k == 1, "-INF").when(k == 2, "NaN").when(k == 3, "-0.0").when(k == 4, F.concat(F.col("p_size").cast("string"), F.lit(".000"))).otherwise(F.concat(money("p_retailprice"), F.lit("0e0")))
+    parts = [F.lit("<flag>1</flag><inner><n>1</n></inner><a>1</a><b>x</b>"), F.concat(F.lit('<b xmlns="urn:other">'), value, F.lit("</b>"))]
+    p = scoped()
+    once = engine.safe_parse_xml(rows_of(spark, sf_dir, "part", "p_partkey", "scoped", *parts), "xml", p).select("k", "doc")
+    return engine.to_xml(once, "doc", p, "out").select("k", F.regexp_extract("out", r"<ns\d+:b>([^<x]*)</ns\d+:b></ns0:scoped>", 1).alias("written"))
+
+
+@query("""
+    SELECT n_nationkey AS k, n_name || 'é ' || n_regionkey AS name, n_name || ' x' AS label FROM nation""")
+def decoded_files(spark, sf_dir):
+    """XML in several encodings, with white space in attributes and references in tag names."""
+    k = F.col("n_nationkey")
+    name = F.concat("n_name", F.lit("é "), F.col("n_regionkey").cast("string"))
+    body = F.concat(
+        F.lit('<scoped xmlns="urn:sales"'), at("key", k), F.lit(' label="'), F.col("n_name"), F.lit('\t'), F.lit('x"><flag>0</flag><inner><n>1</n></inner><a>1</a><&#98;>'),
+        name, F.lit("</&#x62;></scoped>"),
+    )
+    told = lambda e: F.concat(F.lit(f'<?xml version="1.0" encoding="{e}"?>'), body)
+    data = (
+        F.when(k % 4 == 0, F.encode(told("ISO-8859-1"), "ISO-8859-1")).when(k % 4 == 1, F.encode(told("UTF-16"), "UTF-16"))
+        .when(k % 4 == 2, F.encode(told("utf-16le"), "UTF-16LE")).otherwise(F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode(told("UTF-8"), "UTF-8")))
+    )
+    rows = table(spark, sf_dir, "nation").select(k.alias("k"), decoded(data).alias("xml"))
+    got = engine.safe_parse_xml(rows, "xml", scoped())
+    return got.select("k", got.doc.b.alias("name"), got.doc["@label"].alias("label"))

@@ -3,26 +3,20 @@ package has the source and a sink that keeps bad documents apart."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Plan, safe_parse_xml
+from ..operators.shred import decoded
 
 
 def read_documents(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """A stream of (path, xml): whole files as they arrive, decoded by their own encoding."""
-    from ..sources.xmltree import decode_xml
-
-    @F.arrow_udf("string")
-    def decoded(content: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else decode_xml(b) for b in content.to_pylist()], pa.string())
-
     files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).schema(
         "path string, modificationTime timestamp, length long, content binary"
     ).load(folder)
-    return files.select("path", decoded("content").alias("xml"))
+    return files.select("path", decoded(F.col("content")).alias("xml"))
 
 
 def parse_stream(stream: DataFrame, column: str, plan: Plan, into: str = "doc") -> DataFrame:
