@@ -117,7 +117,7 @@ def passing(p: np.ndarray, right: np.ndarray, width: int, least: int) -> tuple[n
     out = []
 
     def reach(rows: np.ndarray, counts: np.ndarray) -> None:
-        i, j = np.nonzero(counts >= least - (lines - early))
+        i, j = np.nonzero(counts >= max(1, least - (lines - early)))
         for s in range(0, len(i), 1 << 16):
             a, b = rows[i[s : s + (1 << 16)]], held[j[s : s + (1 << 16)]]
             apart = np.abs(p[a, early:].astype(np.int16) - p[b, early:])
@@ -128,13 +128,18 @@ def passing(p: np.ndarray, right: np.ndarray, width: int, least: int) -> tuple[n
             out.append((np.minimum(a, b), np.maximum(a, b)))
 
     if held is queries:
-        at = np.arange(1, len(lists) + 1, dtype=np.int32)
-        count = np.searchsorted(lists, lists + np.int32(width), side="right").astype(np.int32) - at
-        if count.sum(dtype=np.int64) <= AT_ONCE and m <= 1 << 11:  # each pair from its lower end only
-            codes = np.repeat(order * np.int32(m), count)
-            codes += order[_expand(at, count)]
+        # Each pair from its lower end only; where most pairs collide, those that do not are counted.
+        begin = np.arange(1, len(lists) + 1, dtype=np.int32)
+        end = np.searchsorted(lists, lists + np.int32(width), side="right").astype(np.int32)
+        last = np.repeat(np.arange(1, early + 1, dtype=np.int32) * np.int32(m), m)
+        apart = (last - end).sum(dtype=np.int64) < (end - begin).sum(dtype=np.int64)
+        begin, end = (end, last) if apart else (begin, end)
+        if (end - begin).sum(dtype=np.int64) <= AT_ONCE and m <= 1 << 11:
+            codes = np.repeat(order * np.int32(m), end - begin)
+            codes += order[_expand(begin, end - begin)]
             counts = np.bincount(codes, minlength=m * m).reshape(m, m)
-            reach(held, counts + counts.T)
+            counts = counts + counts.T
+            reach(held, np.triu(early - counts if apart else counts, 1))
             queries = queries[:0]  # all done
     if len(queries):
         for k in range(0, len(queries), step := max(1, AT_ONCE // (early * m))):
