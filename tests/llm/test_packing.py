@@ -81,3 +81,12 @@ def test_ranges_are_bounded():
     for total in (0, 1, 10**6, 10**9, 10**13):
         n = packing.ranges_for(total, 200)
         assert total / n <= packing.MOST_IDS and (n == 1 or total / n >= packing.LEAST_IDS)
+
+
+def test_ranges_are_dealt_evenly(spark):
+    """Hashing puts the codes of ranges into partitions in turn."""
+    for ranges, parts in ((4, 4), (37, 12), (1, 8), (200, 200)):
+        codes = packing.range_codes(spark, ranges, parts)
+        df = spark.createDataFrame([(int(c),) for c in codes], "c int").repartition(parts, "c").groupBy(packing.F.spark_partition_id()).count()
+        n = [r["count"] for r in df.collect()]
+        assert len(set(codes.tolist())) == ranges and len(n) == min(ranges, parts) and max(n) <= -(-ranges // parts)

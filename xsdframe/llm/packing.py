@@ -16,19 +16,20 @@ range. Ids travel as 16-bit numbers where the vocabulary allows.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, materialise, pick, shuffle_parts, tune
 from .spans import tokenizer_encoder
 
 BUCKETS, DIMS, BITS, TIE_BITS, SEED = 256, 4, 8, 24, 7
-#: Ids in a range: so many at least, where there are, and so many at most, about. Ranges for
-#: each shuffle partition.
-LEAST_IDS, MOST_IDS, SPREAD = 1 << 18, 1 << 25, 16
+#: Ids in a range: so many at least, where there are, and so many at most, about.
+LEAST_IDS, MOST_IDS = 1 << 18, 1 << 25
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -112,10 +113,34 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, wide: bool, text: str
 
 
 def ranges_for(total: int, parts: int) -> int:
-    """How many ranges the order is cut into: some for each shuffle partition, as they are dealt
-    by hash, with no fewer than LEAST_IDS ids each where that can be, and never more than
-    MOST_IDS."""
-    return max(1, min(SPREAD * parts, total // LEAST_IDS), -(-total // MOST_IDS))
+    """How many ranges the order is cut into: one for each shuffle partition, with no fewer
+    than LEAST_IDS ids each where that can be, and never more than MOST_IDS."""
+    return max(1, min(parts, total // LEAST_IDS), -(-total // MOST_IDS))
+
+
+def range_codes(spark: SparkSession, ranges: int, parts: int) -> np.ndarray:
+    """A number for each range, such that hashing deals them evenly to the partitions. (Some 40
+    numbers for each partition come to the driver.)"""
+    tried = 40 * parts + 4 * ranges
+    dealt = spark.range(tried).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), "id")
+    lists: dict[int, list[int]] = {}
+    for r in dealt.groupBy("p").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect():
+        lists[r.p] = r.ids
+    out = []
+    for k in range(ranges):
+        fit = lists.get(k % parts, [])
+        out.append(fit[k // parts] if k // parts < len(fit) else tried + k)
+    return np.array(out, np.int32)
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _placed(table: DataFrame) -> DataFrame:
@@ -129,15 +154,16 @@ def _placed(table: DataFrame) -> DataFrame:
     ranges = ranges_for(total, shuffle_parts(spark))
     keys = table.select("okey", "doc_tokens").repartitionByRange(ranges, "okey")
     found = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("okey").alias("last"), F.sum("doc_tokens").alias("n"))
-    found = sorted((r.last, r.n) for r in found.collect())  # no key is in two ranges
+    with _setting(spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"):  # of keys that the driver sees
+        found = sorted((r.last, r.n) for r in found.collect())  # no key is in two ranges
     last, n = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    bounds = spark.sparkContext.broadcast((last, np.cumsum(n) - n))
+    bounds = spark.sparkContext.broadcast((last, np.cumsum(n) - n, range_codes(spark, len(last), shuffle_parts(spark))))
 
     @F.arrow_udf("struct<range:int,base:long>")
     def range_of(key: pa.Array) -> pa.Array:
-        cuts, base = bounds.value
+        cuts, base, codes = bounds.value
         at = np.searchsorted(cuts, key.to_numpy(zero_copy_only=False))
-        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(base[at])], ["range", "base"])
+        return pa.StructArray.from_arrays([pa.array(codes[at]), pa.array(base[at])], ["range", "base"])
 
     rows = table.withColumn("r", range_of.asNondeterministic()("okey"))  # so it runs once
     inside = Window.partitionBy("r.range").orderBy("okey", "doc_id", "doc_tokens", "ids").rowsBetween(Window.unboundedPreceding, -1)
