@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -273,8 +273,18 @@ def tokenizer_encoder(path: str, lower: bool, most: int = FEW) -> SpanEncoder:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         tokenize, letters = tok.model.tokenize, byte_letters()
+        points = np.array([letters.get(b, b) for b in range(256)], "<u4")
+
+        def encode_words(words: list[str]) -> list[list[int]]:
+            """All words' bytes as letters at once: a letter for each byte, so places stay."""
+            joined = "".join(words)
+            sizes = map(len, words) if joined.isascii() else [len(w.encode()) for w in words]
+            shown = points[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ends = [0, *accumulate(sizes)]
+            return [[t.id for t in tokenize(shown[a:b])] for a, b in zip(ends, ends[1:])]
+
         _LOADED[key] = SpanEncoder(
-            lambda words: [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words],
+            encode_words,
             lambda text: tok.encode(text, add_special_tokens=False).ids,
             lower,
             most,
