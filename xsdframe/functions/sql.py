@@ -262,8 +262,9 @@ def let(value, body: Callable):
     if _PATH.fullmatch(value.text):
         return body(value)
     name = f"v_{next(_numbers)}"
-    inner = text_of(body(Expr(name, name)))
+    made = F.lit(body(Expr(name, name)))
+    inner = made.text
     uses = re.findall(rf"\b{name}\b", inner)
     if len(uses) <= 1 and "->" not in inner:
-        return Expr(re.sub(rf"\b{name}\b", lambda _: value.text, inner))
+        return Expr(re.sub(rf"\b{name}\b", lambda _: value.at(ATOM), inner), level=made.level)
     return Expr(f"transform(array({value.text}), {name} -> {inner})[0]")
