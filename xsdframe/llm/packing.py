@@ -154,7 +154,7 @@ def _placed(table: DataFrame) -> DataFrame:
     ranges = ranges_for(total, shuffle_parts(spark))
     keys = table.select("okey", "doc_tokens").repartitionByRange(ranges, "okey")
     found = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("okey").alias("last"), F.sum("doc_tokens").alias("n"))
-    with _setting(spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"):  # of keys that the driver sees
+    with _setting(spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "60"):  # of keys that the driver sees
         found = sorted((r.last, r.n) for r in found.collect())  # no key is in two ranges
     last, n = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
     bounds = spark.sparkContext.broadcast((last, np.cumsum(n) - n, range_codes(spark, len(last), shuffle_parts(spark))))
