@@ -13,8 +13,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.driver.extraJavaOptions", "-Xss8m").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
