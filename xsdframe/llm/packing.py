@@ -28,8 +28,9 @@ from .common import map_slices, materialise, pick, shuffle_parts, tune
 from .spans import tokenizer_encoder
 
 BUCKETS, DIMS, BITS, TIE_BITS, SEED = 256, 4, 8, 24, 7
-#: Ids in a range: so many at least, where there are, and so many at most, about.
-LEAST_IDS, MOST_IDS = 1 << 18, 1 << 25
+#: Ids in a range: so many at least, where there are, and so many at most, about. Ranges for
+#: each shuffle partition.
+LEAST_IDS, MOST_IDS, SPREAD = 1 << 18, 1 << 25, 8
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -113,9 +114,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, wide: bool, text: str
 
 
 def ranges_for(total: int, parts: int) -> int:
-    """How many ranges the order is cut into: one for each shuffle partition, with no fewer
-    than LEAST_IDS ids each where that can be, and never more than MOST_IDS."""
-    return max(1, min(parts, total // LEAST_IDS), -(-total // MOST_IDS))
+    """How many ranges the order is cut into: SPREAD for each shuffle partition, with no fewer
+    than LEAST_IDS ids each where that can be, and never more than MOST_IDS. Ranges hold
+    about as many documents each, and long documents lie together on the curve; dealt in
+    turn, ranges of long documents go to different partitions."""
+    return max(1, min(SPREAD * parts, total // LEAST_IDS), -(-total // MOST_IDS))
 
 
 def range_codes(spark: SparkSession, ranges: int, parts: int) -> np.ndarray:
@@ -154,7 +157,7 @@ def _placed(table: DataFrame) -> DataFrame:
     ranges = ranges_for(total, shuffle_parts(spark))
     keys = table.select("okey", "doc_tokens").repartitionByRange(ranges, "okey")
     found = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("okey").alias("last"), F.sum("doc_tokens").alias("n"))
-    with _setting(spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "60"):  # of keys that the driver sees
+    with _setting(spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "8"):  # of keys that the driver sees
         found = sorted((r.last, r.n) for r in found.collect())  # no key is in two ranges
     last, n = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
     bounds = spark.sparkContext.broadcast((last, np.cumsum(n) - n, range_codes(spark, len(last), shuffle_parts(spark))))
