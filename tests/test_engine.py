@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +144,45 @@ def test_conformance(spark, tmp_path):
     assert conform.violations(spark, good, whole) == []
 
 
+def split_schema(tmp_path):
+    """A schema that redefines a type of a file in a folder below."""
+    (tmp_path / "below").mkdir()
+    simple = '<xs:simpleType name="Level"><xs:restriction base="{}"><xs:{} value="5"/></xs:restriction></xs:simpleType>'
+    schema_of(tmp_path, simple.format("xs:int", "minInclusive"), "below/part.xsd", '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">')
+    return schema_of(tmp_path, f'<xs:redefine schemaLocation="below/part.xsd">{simple.format("t:Level", "maxInclusive")}</xs:redefine><xs:element name="a" type="t:Level"/>')
+
+
+def test_sent_schemas_stand_in_one_folder(spark, tmp_path):
+    xsd, there = split_schema(tmp_path), tmp_path / "there"
+    there.mkdir()
+    files = conform.flat(xsd)
+    assert len(files) == 2 and not any("/" in name for name in files) and files == conform.flat(xsd)
+    for name, text in files.items():
+        (there / name).write_text(text, encoding="utf-8")
+    valid = lambda v: conform.violations(spark, f'<a xmlns="urn:t">{v}</a>', str(there / next(iter(files)))) == []
+    assert [valid(v) for v in (4, 5, 6)] == [False, True, False]
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from xsdframe.operators import conform
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.sparkContext.parallelize([(f'<a xmlns="urn:t">{v}</a>',) for v in (4, 5, 6)], 1)
+df = spark.createDataFrame(rows, "xml string")
+for _ in range(2):
+    print([r["_conforms"] for r in conform.conform(df, "xml", sys.argv[1]).collect()])
+spark.stop()
+"""
+
+
+def test_conformance_on_executors(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_WORKER_DIR": str(tmp_path / "work"), "SPARK_SCALA_VERSION": "2.13"}
+    done = subprocess.run([sys.executable, "-c", CLUSTER, split_schema(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split("\n")[-3:-1] == ["[False, True, False]"] * 2, done.stderr[-3000:]
+
+
 def test_stream_splits_good_from_bad(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

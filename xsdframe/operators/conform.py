@@ -6,25 +6,63 @@ come from the driver's JVM.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+import tempfile
 from dataclasses import dataclass
+from html import unescape
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import XsdFrameError
-from ..sources.loader import read_schema
+from ..sources.loader import dependencies, read_bytes, read_schema
+from ..sources.xmltree import decode_xml
 
 _BAD = "_malformed"
 
+#: Folders of the schemas sent, by application and content; executors that come later fetch from
+#: them, so they stay until the driver ends.
+_sent: dict[tuple[str, str], tempfile.TemporaryDirectory] = {}
+
+
+def flat(xsd: str) -> dict[str, str]:
+    """The text of a schema (first) and of all files that it reaches, by names that can stand in
+    one folder, each reference leading to such a name. Equal schemas have equal names."""
+    paths = list(dict.fromkeys(os.path.realpath(p) for p in (xsd, *dependencies(xsd))))
+    texts = [decode_xml(read_bytes(p)) for p in paths]
+    mark = hashlib.sha256("\0".join(x for pair in zip((os.path.relpath(p, os.path.dirname(paths[0])) for p in paths), texts) for x in pair).encode()).hexdigest()[:16]
+    names = {p: f"xsd-{mark}-{k}.xsd" for k, p in enumerate(paths)}
+    out = {}
+    for path, text in zip(paths, texts):
+        def led(m: re.Match, folder: str = os.path.dirname(path)) -> str:
+            to = names.get(os.path.realpath(os.path.join(folder, unescape(m[3]).strip())))
+            return m[0] if to is None else f"{m[1]}{m[2]}{to}{m[2]}"
+
+        out[names[path]] = re.sub(r"""(\sschemaLocation\s*=\s*)(["'])(.*?)\2""", led, text, flags=re.DOTALL)
+    return out
+
 
 def ship(spark: SparkSession, xsd: str) -> str:
-    """Send a schema's folder to all executors; the path to give to the reader there."""
-    folder = os.path.dirname(os.path.abspath(xsd))
-    spark.sparkContext.addFile(folder, recursive=True)
-    return xsd if spark.sparkContext.master.startswith("local") else f"{os.path.basename(folder)}/{os.path.basename(xsd)}"
+    """Send a schema and what it reaches to all executors; the path to give to the reader there.
+
+    Executors find sent files in their working folder, by name alone: Spark sends no local
+    folder to them, and its reader looks for no path below."""
+    context = spark.sparkContext
+    if not context.master.startswith("local-cluster") and context.master.startswith("local"):
+        return os.path.abspath(xsd)
+    files = flat(xsd)
+    entry = next(iter(files))
+    if (context.applicationId, entry) not in _sent:
+        folder = _sent[context.applicationId, entry] = tempfile.TemporaryDirectory(prefix="xsdframe-", ignore_cleanup_errors=True)
+        for name, text in files.items():
+            path = os.path.join(folder.name, name)
+            with open(path, "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+            context.addFile(path)
+    return entry
 
 
 def conforms(xml: Column, shipped: str) -> Column:
