@@ -9,6 +9,7 @@ Spark expressions. Fields that a plan leaves out are never built.
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,6 +21,7 @@ from ..errors import XsdFrameError
 from ..plans.shapes import BOUND, EXTRA, ORDER, TAG, TYPE, Part, Shape, Slot
 from ..qname import XSI, prefixed, split
 from ..sources.xmltree import Node, decode_xml, parse_xml, repair_tag_names
+from . import likeness
 from .opencontent import extra_parts, open_value, open_xml
 
 _NIL, _TYPE = f"{{{XSI}}}nil", f"{{{XSI}}}type"
@@ -233,11 +235,11 @@ def raw_schema(slot: Slot) -> T.StructType:
 def shredder(root: str, slot: Slot):
     """A function of an XML string column giving {doc, error}."""
     schema = raw_schema(slot)
-    kind = to_arrow_type(schema)
+    reader = likeness.Reader(partial(shred_one, root=root, slot=slot), to_arrow_type(schema), slot)
 
     @F.arrow_udf(returnType=schema)
     def shred(xml: pa.Array) -> pa.Array:
-        return pa.array([shred_one(x, root, slot) for x in xml.to_pylist()], kind)
+        return reader(xml.to_pylist())
 
     # So the optimizer never copies the call into each expression that uses its result.
     return shred.asNondeterministic()
