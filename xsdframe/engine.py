@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .errors import XsdFrameError
 from .functions import F as X
+from .functions import once
 from .ir import Element, Schema
 from .operators import reader, shred
 from .operators.writer import Writer
@@ -88,8 +89,7 @@ def safe_parse_xml(df: DataFrame, column: str, plan: Plan, into: str = "doc", is
     out = df.withColumn(held, plan.shred(F.col(column)))
     value = plan.typed(X.col(held))
     if validate:
-        # A generator of one row: else each field that is taken from the value would check anew.
-        out = out.withColumn(issues, F.explode(F.array(plan.issues(X.col(held)))))
+        out = out.withColumn(issues, once(plan.issues(X.col(held))))
         out = out.withColumn(into, F.when(F.size(issues) == 0, value))
     else:
         out = out.withColumn(into, value)
@@ -107,7 +107,7 @@ def parse_xml(df: DataFrame, column: str, plan: Plan, into: str = "doc") -> Data
 def validate(df: DataFrame, column: str, plan: Plan, keep: Iterable[str] = ()) -> DataFrame:
     """A row for each violation: the kept columns, path, code, message and channel."""
     keep = list(keep)
-    checked = df.withColumn("_raw", plan.shred(F.col(column))).select(*keep, plan.issues(X.col("_raw")).alias("_issues"))
+    checked = df.withColumn("_raw", plan.shred(F.col(column))).select(*keep, once(plan.issues(X.col("_raw"))).alias("_issues"))
     return checked.select(*keep, F.explode("_issues").alias("i")).select(*keep, "i.*")
 
 
@@ -115,6 +115,4 @@ def to_xml(df: DataFrame, column: str, plan: Plan, into: str = "xml", raw: str |
     """df with the XML text of a typed column. raw: the strings that safe_parse_xml kept; a
     value that still means the same is then written as it stood."""
     text = Writer(plan.root, plan.slot).document(X.col(column), X.col(raw)["doc"] if raw else None)
-    # One row each; the optimizer does not move a generator's result into a later parse's
-    # Python call, whose arguments cannot hold the writer's lambda expressions.
-    return df.withColumn(into, F.explode(F.array(text)))
+    return df.withColumn(into, once(text))

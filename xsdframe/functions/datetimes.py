@@ -10,11 +10,12 @@ time it wraps. Recurring forms are moved within the year 2000.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from .sql import F, let
 
-from .lexical import MONTH, YEAR, collapse
+from .lexical import MONTH, USUAL_DAY, USUAL_YEAR, YEAR, collapse, full
 
 _ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})?"
 #: Fields of each type's struct, in order.
@@ -89,6 +90,24 @@ def _back(zone: Column) -> Column:
     return F.floor(-F.coalesce(zone, F.lit(0)) / 1440).cast("int")
 
 
+def _usual(name: str, form: str, places: dict[str, int], other: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The parser, with a shorter way for forms of fixed places that stay where they are in UTC
+    (no zone, or one of nothing). It is compiled; the other way binds names, which is interpreted.
+    places: where each field begins, counted from 1; the form's length is the last field's end."""
+    kinds = {"year": ("bigint", 4)}
+
+    def parse(c: Column) -> Column:
+        parts, end = [], 0
+        for field, start in places.items():
+            kind, size = kinds.get(field, ("int", 2))
+            parts.append(F.substr(c, F.lit(start), F.lit(size)).cast(kind))
+            end = start + size - 1
+        zone = F.when(F.length(c) > end, F.lit(0))
+        return F.when(full(c, rf"{form}(?:Z|[+-]00:00)?"), _struct(name, *parts, zone)).otherwise(other(c))
+
+    return parse
+
+
 def parse_date_time(c: Column) -> Column:
     p = rf"\A({YEAR})-([0-9]{{2}})-([0-9]{{2}})T([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}})(?:\.([0-9]+))?{_ZONE}\z"
 
@@ -105,7 +124,7 @@ def parse_date_time(c: Column) -> Column:
     return _read(c, build)
 
 
-def parse_date(c: Column) -> Column:
+def _parse_date(c: Column) -> Column:
     """A day with a zone is the UTC day in which it begins."""
     p = rf"\A({YEAR})-([0-9]{{2}})-([0-9]{{2}}){_ZONE}\z"
     return _read(c, lambda t, zone: let(
@@ -138,26 +157,33 @@ def _recurring(c: Column, name: str, pattern: str, year: int | None = None, mont
     return _read(c, build)
 
 
-def parse_gyear(c: Column) -> Column:
+def _parse_gyear(c: Column) -> Column:
     return _recurring(c, "gYear", rf"\A({YEAR}){_ZONE}\z", month=1, day=1)
 
 
-def parse_gyearmonth(c: Column) -> Column:
+def _parse_gyearmonth(c: Column) -> Column:
     return _recurring(c, "gYearMonth", rf"\A({YEAR})-({MONTH}){_ZONE}\z", day=1)
 
 
-def parse_gmonth(c: Column) -> Column:
+def _parse_gmonth(c: Column) -> Column:
     return _recurring(c, "gMonth", rf"\A--({MONTH})(?:--)?{_ZONE}\z", year=REFERENCE_YEAR, day=1)
 
 
-def parse_gmonthday(c: Column) -> Column:
+def _parse_gmonthday(c: Column) -> Column:
     return _recurring(c, "gMonthDay", rf"\A--([0-9]{{2}})-([0-9]{{2}}){_ZONE}\z", year=REFERENCE_YEAR)
 
 
-def parse_gday(c: Column) -> Column:
+def _parse_gday(c: Column) -> Column:
     return _recurring(c, "gDay", rf"\A---([0-9]{{2}}){_ZONE}\z", year=REFERENCE_YEAR, month=1)
 
 
+parse_date = _usual("date", f"{USUAL_YEAR}-{USUAL_DAY}", {"year": 1, "month": 6, "day": 9}, _parse_date)
+parse_gyear = _usual("gYear", USUAL_YEAR, {"year": 1}, _parse_gyear)
+parse_gyearmonth = _usual("gYearMonth", f"{USUAL_YEAR}-{MONTH}", {"year": 1, "month": 6}, _parse_gyearmonth)
+parse_gmonth = _usual("gMonth", f"--{MONTH}", {"month": 3}, _parse_gmonth)
+parse_gmonthday = _usual("gMonthDay", f"--{USUAL_DAY}", {"month": 3, "day": 6}, _parse_gmonthday)
+parse_gday = _usual("gDay", "---(?:0[1-9]|[12][0-9]|3[01])", {"day": 4}, _parse_gday)
+
 DURATION_PARTS = ("years", "months", "days", "hours", "minutes", "seconds")
 
 
@@ -180,7 +206,11 @@ def parse_duration(c: Column) -> Column:
 
         return F.when(t.rlike(p), let(parts, signed))
 
-    return let(collapse(c), build)
+    usual = F.struct(
+        F.lit(False).alias("negative"), *(F.coalesce(_group(c, p, k + 1, "long"), F.lit(0)).cast("bigint").alias(n) for k, n in enumerate(DURATION_PARTS)),
+        _trim_fraction(F.regexp_extract(c, p, 7)).alias("fraction"),
+    )
+    return F.when(c.startswith("P") & c.rlike(p), usual).otherwise(let(collapse(c), build))
 
 
 def _pad(c: Column, n: int) -> Column:
@@ -222,11 +252,13 @@ write_gday = _bound(lambda v: F.concat(F.lit("---"), _pad(v["day"], 2), _zone(v)
 
 def _duration_text(v: Column) -> Column:
     part = lambda n, unit: F.when(v[n] != 0, F.concat(v[n].cast("string"), F.lit(unit))).otherwise("")
+    some = lambda names: reduce(lambda a, b: a | b, [v[n] != 0 for n in names])
     seconds = F.when(v["fraction"].isNotNull(), F.concat(v["seconds"].cast("string"), F.lit("."), v["fraction"], F.lit("S"))).otherwise(part("seconds", "S"))
     days = F.concat(part("years", "Y"), part("months", "M"), part("days", "D"))
-    clock = F.concat(part("hours", "H"), part("minutes", "M"), seconds)
-    body = F.concat(days, F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
-    return let(body, lambda b: F.concat(F.when(v["negative"], "-").otherwise(""), F.lit("P"), F.when(b == "", "T0S").otherwise(b)))
+    clock = F.concat(F.lit("T"), part("hours", "H"), part("minutes", "M"), seconds)
+    timed = some(DURATION_PARTS[3:]) | v["fraction"].isNotNull()
+    body = F.when(timed, F.concat(days, clock)).when(some(DURATION_PARTS[:3]), days).otherwise("T0S")
+    return F.concat(F.when(v["negative"], "-").otherwise(""), F.lit("P"), body)
 
 
 write_duration = _bound(_duration_text)

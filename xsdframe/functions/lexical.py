@@ -55,12 +55,20 @@ def _day_exists(c: Column) -> Column:
     return let(found, check)
 
 
-def _dated(shape: str) -> Callable[[Column], Column]:
-    return lambda c: let(collapse(c), lambda t: F.when(full(t, shape), _day_exists(t)).when(t.isNotNull(), F.lit(False)))
+# Usual years, and days that are in any year, so all but 29 February.
+USUAL_YEAR = "(?!0000)[0-9]{4}"
+USUAL_DAY = f"(?:{MONTH}-(?:0[1-9]|1[0-9]|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
 
 
-xsd_date = _dated(f"{YEAR}-{MONTH}-{DAY}{TZ}")
-xsd_date_time = _dated(f"{YEAR}-{MONTH}-{DAY}T{TIME}{TZ}")
+def _dated(shape: str, usual: str) -> Callable[[Column], Column]:
+    """usual: days that exist without a look at the year, in documents nearly all; compiled, while
+    the rule for others binds names, which is interpreted."""
+    other = lambda c: let(collapse(c), lambda t: F.when(full(t, shape), _day_exists(t)).when(t.isNotNull(), F.lit(False)))
+    return lambda c: F.when(full(c, usual), F.lit(True)).otherwise(other(c))
+
+
+xsd_date = _dated(f"{YEAR}-{MONTH}-{DAY}{TZ}", f"{USUAL_YEAR}-{USUAL_DAY}{TZ}")
+xsd_date_time = _dated(f"{YEAR}-{MONTH}-{DAY}T{TIME}{TZ}", f"{USUAL_YEAR}-{USUAL_DAY}T{TIME}{TZ}")
 xsd_time = _form(TIME + TZ)
 
 

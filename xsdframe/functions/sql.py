@@ -268,3 +268,12 @@ def let(value, body: Callable):
     if len(uses) <= 1 and "->" not in inner:
         return Expr(re.sub(rf"\b{name}\b", lambda _: value.at(ATOM), inner), level=made.level)
     return Expr(f"transform(array({value.text}), {name} -> {inner})[0]")
+
+
+def once(value: Expr) -> Expr:
+    """The value, computed in the one place where it stands. The optimizer keeps an expression
+    that may differ between partitions in its own projection: it neither copies it to each use
+    of a column (a filter that an explode infers, a field that is taken), nor moves it into a
+    Python call's arguments, which cannot hold lambda expressions. A generator of one row would
+    do so too, but what generators take is interpreted, not compiled."""
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -81,13 +81,14 @@ def typed(slot: Slot, raw: Column) -> Column:
 
 
 def _issue(ok: Column, path: str, code: str, message: str, channel: str) -> Column:
-    """The violation where ok is false; null counts as holding."""
+    """An array of the violation where ok is false, else an empty one; null counts as holding."""
     made = F.struct(F.lit(path).alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(channel).alias("channel"))
-    return F.when(~F.coalesce(ok, F.lit(True)), made)
+    return F.when(~F.coalesce(ok, F.lit(True)), F.array(made)).otherwise(F.array())
 
 
 def _list(found: list[Column]) -> Column | None:
-    return F.array_compact(F.array(*found)) if found else None
+    # Not an array without its nulls: that is a lambda, which leaves all tests to the interpreter.
+    return F.concat(*found) if found else None
 
 
 def _leaf_issues(part: Part, raw: Column, path: str) -> list[Column]:
@@ -152,10 +153,8 @@ def _part_issues(part: Part, raw: Column, path: str) -> list[Column]:
         out.append(issues(part.slot, value, here, f.nillable))
     elif part.slot.kind == "leaf":
         found = _leaf_issues(part, value, here)
-        if f.kind == "element":
-            found = [F.when(value.isNotNull(), x) for x in found]
         if found:
-            out.append(_list(found))
+            out.append(F.when(value.isNotNull(), _list(found)) if f.kind == "element" else _list(found))
     return out
 
 
