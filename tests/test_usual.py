@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 from xsdframe import engine
 from xsdframe.functions import F as X
 from xsdframe.functions import datetimes, lexical
+from xsdframe.plans.simple import INTEGERS, SimplePlans
+from xsdframe.queries import SALES
+from xsdframe.qname import XSD
 from xsdframe.rule_queries import RULES
 
 ZONES = ["", "Z", "+00:00", "-00:00", "+01:00", "-14:00", " "]
@@ -45,3 +48,46 @@ def test_checks_are_compiled_and_made_once(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("expected element day") == 1 and "filter(" not in text
     assert found.count() == 3
+
+
+NUMBERS = [
+    "0", "-0", "+0", "00", "0.0", "-0.0", "1", "+1", "01", "1.0", "1.50", "1.5", "15e-1", "1.5E0", "-1.5", " 1.5 ", "INF", "-INF", "NaN", "abc", "", "1.", ".5", "12", "+012.0", "1e21", "1000000000000000000000",
+    "127", "128", "-128", "-129", "99999", "999999999", "2147483647", "2147483648", "-2147483649", "9223372036854775807", "9223372036854775808", "18446744073709551616", "9" * 40, "-" + "9" * 40, "0.1", "0.10000000000000001",
+]
+
+
+def test_equal_numbers_are_those_of_equal_canonical_text(spark):
+    plans = SimplePlans(engine.load_xsd(SALES))
+    df = spark.createDataFrame([(x,) for x in NUMBERS] + [(None,)], "c string").coalesce(1)
+    for name in ("decimal", "double", "float", "byte", "int", "long", "integer", "unsignedLong"):
+        p, tests = plans.get(f"{{{XSD}}}{name}"), []
+        for told in ("0", "1", "1.5", "+012", "-1.5", "1e21", "INF", "NaN", "x", "128", "9223372036854775808", "9" * 40, "0.1"):
+            old = p.comparable(X.col("c")) == p.comparable(X.lit(told))
+            tests += [F.struct(p.same(X.col("c"), told).alias("a"), old.alias("b"), p._among(X.col("c"), [told, "2"]).alias("d"), (old | (p.comparable(X.col("c")) == p.comparable(X.lit("2")))).alias("e"))]
+        for row in df.select("c", F.array(*tests).alias("t")).collect():
+            assert [(name, row.c, k) for k, t in enumerate(row.t) if t.a != t.b or t.d != t.e] == []
+
+
+def test_usual_integers_hold_in_every_check(spark):
+    plans = SimplePlans(engine.load_xsd(SALES))
+    df = spark.createDataFrame([(x,) for x in NUMBERS] + [(None,)], "c string").coalesce(1)
+    for name in INTEGERS:
+        p = plans.get(f"{{{XSD}}}{name}")
+        if (usual := p.usual(X.col("c"))) is not None:
+            rows = df.select("c", usual.alias("a"), p.holds(X.col("c")).alias("b")).collect()
+            assert [r for r in rows if r.a and not r.b] == [] and any(r.a for r in rows)
+
+
+def test_lines_are_checked_each(spark):
+    """One faulty line among good ones gives its violations, in order; good lines give none."""
+    good = '<line number="1"><part>1</part><quantity>1.5</quantity></line>'
+    bad = ['<line number="x"><part>9223372036854775808</part></line>', '<line><part><b/></part><quantity>q</quantity></line>', f'<line number=" +2 "><part xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:nil="1"/><quantity>INF</quantity></line>']
+    want = [
+        [("@number", "lexical"), ("part", "range"), ("quantity", "required")], [("@number", "required"), ("part", "content"), ("quantity", "lexical")], [("part", "nil")],
+    ]
+    head = '<order xmlns="urn:sales" id="1" status="F"><custkey>1</custkey><total>1</total><date>2000-02-29</date>'
+    texts = [head + body + "</order>" for body in ("", good * 3, *(good + b + good for b in bad), "".join(bad))]
+    xml = spark.createDataFrame(list(enumerate(texts)), "k int, xml string").coalesce(1)
+    found = engine.validate(xml, "xml", engine.compile(engine.load_xsd(SALES), "order"), ["k"]).collect()
+    by = [sorted((r.path.removeprefix("/order/line/"), r.code) for r in found if r.k == k) for k in range(len(texts))]
+    assert by == [[], [], *map(sorted, want), sorted(sum(want, []))]

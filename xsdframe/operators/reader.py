@@ -6,6 +6,8 @@ structural or lexical is what a strict reader stops at, schema what it collects.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
@@ -83,12 +85,27 @@ def typed(slot: Slot, raw: Column) -> Column:
 def _issue(ok: Column, path: str, code: str, message: str, channel: str) -> Column:
     """An array of the violation where ok is false, else an empty one; null counts as holding."""
     made = F.struct(F.lit(path).alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(channel).alias("channel"))
-    return F.when(~F.coalesce(ok, F.lit(True)), F.array(made)).otherwise(F.array())
+    ok = F.coalesce(ok, F.lit(True))
+    return _sound(F.when(~ok, F.array(made)).otherwise(F.array()), ok)
+
+
+def _sound(found: Column, ok: Column | None) -> Column:
+    """The violations, with whether there are none told beside them where that is known without
+    making them. Elements that occur repeatedly are checked in a lambda, which is interpreted: there
+    the short answer comes first."""
+    if ok is not None:
+        found.ok = ok
+    return found
+
+
+def _all_ok(found: list[Column]) -> Column | None:
+    oks = [getattr(x, "ok", None) for x in found]
+    return None if any(ok is None for ok in oks) else reduce(lambda a, b: a & b, oks, F.lit(True))
 
 
 def _list(found: list[Column]) -> Column | None:
     # Not an array without its nulls: that is a lambda, which leaves all tests to the interpreter.
-    return F.concat(*found) if found else None
+    return _sound(F.concat(*found), _all_ok(found)) if found else None
 
 
 def _leaf_issues(part: Part, raw: Column, path: str) -> list[Column]:
@@ -103,15 +120,25 @@ def _leaf_issues(part: Part, raw: Column, path: str) -> list[Column]:
     value = _lexical(part, v)
     for member, plan in _plans(part):
         other = value.isNull() if member is None else value.isNull() | ~raw["tag"].eqNullSafe(F.lit(member or None))
+        made = []
         for code, test, message in plan.checks():
             channel = "lexical" if code in ("lexical", "pattern", "enumeration") else "schema"
-            out.append(_issue(other | test(value), path, code, message, channel))
+            made.append(_issue(other | test(value), path, code, message, channel))
+        usual = plan.usual(value)
+        if usual is not None:  # one test for all
+            ok = F.coalesce(usual, F.lit(False)) | _all_ok(made)
+            made = [_sound(x, F.lit(True) if k else ok) for k, x in enumerate(made)]
+        out += made
     if f.fixed is not None:
-        same = lambda c: part.slot.simple.comparable(c)
-        out.append(_issue(value.isNull() | (same(value) == same(F.lit(f.fixed))), path, "fixed", f"must be {f.fixed}", "schema"))
+        out.append(_issue(value.isNull() | part.slot.simple.same(value, f.fixed), path, "fixed", f"must be {f.fixed}", "schema"))
     return out
 
 
+def _flat(slot: Slot) -> bool:
+    """Whether a leaf, or an object of one shape with single leaves alone."""
+    return slot.kind == "leaf" or (slot.kind == "object" and len(slot.shapes) == 1 and all(not p.repeated and p.slot.kind == "leaf" for p in slot.shapes[0].parts))
+
+
 def _plans(part: Part) -> list[tuple[str | None, SimplePlan]]:
     """The types that a leaf may have: by substituted tag, where they differ (empty: the head)."""
     tags = part.slot.leaf_tags
@@ -145,7 +172,8 @@ def _part_issues(part: Part, raw: Column, path: str) -> list[Column]:
             inner = lambda x: issues(part.slot, x, here, f.nillable)
         else:
             return out
-        out.append(F.flatten(F.transform(value, inner)))
+        every = F.flatten(F.transform(value, inner))
+        out.append(F.when(F.forall(value, lambda x: inner(x).ok), F.array()).otherwise(every) if _flat(part.slot) else every)
         return out
     if part.required and not (f.kind == "attribute" and (f.fixed is not None or f.default is not None)):
         out.append(_list([_issue(value.isNotNull(), here, "required", f"expected {f.kind} {f.key}", "schema")]))
@@ -153,8 +181,11 @@ def _part_issues(part: Part, raw: Column, path: str) -> list[Column]:
         out.append(issues(part.slot, value, here, f.nillable))
     elif part.slot.kind == "leaf":
         found = _leaf_issues(part, value, here)
-        if found:
-            out.append(F.when(value.isNotNull(), _list(found)) if f.kind == "element" else _list(found))
+        if found and f.kind == "element":
+            ok = _all_ok(found)
+            out.append(_sound(F.when(value.isNotNull(), _list(found)), None if ok is None else value.isNull() | ok))
+        elif found:
+            out.append(_list(found))
     return out
 
 
@@ -178,7 +209,7 @@ def _shape_issues(shape: Shape, raw: Column, path: str) -> Column:
     if checks:
         out.append(_list(checks))
     none = F.array().cast(f"array<{ISSUE}>")
-    return F.concat(*(F.coalesce(x, none) for x in out)) if out else none
+    return _sound(F.concat(*(F.coalesce(x, none) for x in out)), _all_ok(out)) if out else _sound(none, F.lit(True))
 
 
 def issues(slot: Slot, raw: Column, path: str, nillable: bool = True) -> Column:
@@ -194,10 +225,11 @@ def issues(slot: Slot, raw: Column, path: str, nillable: bool = True) -> Column:
         found = none
         for k, shape in enumerate(slot.shapes):
             found = F.when(which == k, _shape_issues(shape, raw, path)).otherwise(found)
+    ok = getattr(found, "ok", None)
     if nillable:
-        return F.when(raw.isNotNull() & ~nil, found).otherwise(none)
+        return _sound(F.when(raw.isNotNull() & ~nil, found).otherwise(none), None if ok is None else raw.isNull() | nil | ok)
     bad = _list([_issue(~nil, path, "nil", "is not nillable", "schema")])
-    return F.when(raw.isNull(), none).when(nil, bad).otherwise(found)
+    return _sound(F.when(raw.isNull(), none).when(nil, bad).otherwise(found), None if ok is None else raw.isNull() | (~nil & ok))
 
 
 def document_issues(slot: Slot, result: Column, root: str, nillable: bool) -> Column:

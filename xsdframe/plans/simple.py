@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -142,6 +143,16 @@ class SimplePlan:
         tests = [F.coalesce(test(c), F.lit(True)) for _, test, _ in self.checks()]
         return reduce(lambda a, b: a & b, tests, c.isNotNull())
 
+    def usual(self, c: Column) -> Column | None:
+        """A quick test of an integer type: lexicals that pass hold in every check, others may.
+        None for types of more rules than their own."""
+        if self.kind != "atomic" or self.steps or self.primitive not in INTEGERS:
+            return None
+        low, high, _ = INTEGERS[self.primitive]
+        if (low or 0) > 0 or (high is not None and high <= 0):
+            return None
+        return lexical.full(c, f"{'' if low == 0 else '-?'}[0-9]{{1,{18 if high is None else min(18, len(str(high)) - 1)}}}")
+
     def checks(self) -> list[Check]:
         """All that a lexical must pass: its type's form first, then facets in the order white
         space, patterns, enumeration, bounds, lengths, digits. Vacuous ones are left out."""
@@ -207,11 +218,35 @@ class SimplePlan:
         return self.spaced(c)
 
     def _among(self, c: Column, values: list[str]) -> Column:
+        if self._numeric() and all(re.fullmatch(numeric.FLOAT if self.primitive not in INTEGERS else numeric.INTEGER, x) for x in values):
+            return self._equal(c, values)
         plain = self.kind == "atomic" and self.primitive not in datetimes.PARSERS and not self._numeric() and self.primitive != "boolean"
         if plain:
             return self.spaced(c).isin(values)
         return let(self.comparable(c), lambda v: reduce(lambda a, b: a | b, [v == self.comparable(F.lit(x)) for x in values]))
 
+    def same(self, c: Column, told: str) -> Column:
+        """Whether a lexical means what another, of the schema, means."""
+        if self._numeric() and re.fullmatch(numeric.FLOAT if self.primitive not in INTEGERS else numeric.INTEGER, told):
+            return self._equal(c, [told])
+        return self.comparable(c) == self.comparable(F.lit(told))
+
+    def _equal(self, c: Column, values: list[str]) -> Column:
+        """Whether a lexical is one of some numbers, by value. Equal values have one canonical text
+        (see comparable), and only they; zeros, which have two, and numbers beyond the type, which
+        have none, are compared as text."""
+        if any(self._zero_or_beyond(x) for x in values):
+            return let(self.comparable(c), lambda v: reduce(lambda a, b: a | b, [v == self.comparable(F.lit(x)) for x in values]))
+        kind = self.spark.simpleString()
+        among = reduce(lambda a, b: a | b, [self.value(c) == F.lit(x.strip("+")).cast(kind) for x in values])
+        return F.when(c.isNotNull(), F.coalesce(among, F.lit(False)))
+
+    def _zero_or_beyond(self, told: str) -> bool:
+        if self.primitive in INTEGERS:
+            low, high, _ = INTEGERS[self.primitive]
+            return len(told) > numeric.FITS or not (low is None or int(told) >= low) or not (high is None or int(told) <= high)
+        return self.decimal or not 1e-300 < abs(float(told)) < 1e300
+
     def _bound(self, name: str, told: str):
         """Order facets: exact on decimals and integers, by value on floats; others have none."""
         if not self._numeric():
