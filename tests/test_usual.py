@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from xsdframe import engine
 from xsdframe.functions import F as X
-from xsdframe.functions import datetimes, lexical
+from xsdframe.functions import datetimes, lexical, numeric
 from xsdframe.plans.simple import INTEGERS, SimplePlans
 from xsdframe.queries import SALES
 from xsdframe.qname import XSD
@@ -91,3 +91,15 @@ def test_lines_are_checked_each(spark):
     found = engine.validate(xml, "xml", engine.compile(engine.load_xsd(SALES), "order"), ["k"]).collect()
     by = [sorted((r.path.removeprefix("/order/line/"), r.code) for r in found if r.k == k) for k in range(len(texts))]
     assert by == [[], [], *map(sorted, want), sorted(sum(want, []))]
+
+
+def test_digits_of_usual_decimals(spark):
+    """Counted as they stand, they are as many as with a blank before, which is taken apart."""
+    forms = [*NUMBERS, "120", "120.0", "120.00", "-120.40", "100.001", "0.001", "10.", "-.5", "-1", "1.0000", "1" * 30 + ".10"]
+    df = spark.createDataFrame([(x,) for x in forms] + [(None,)], "c string").coalesce(1)
+    for count in (numeric.total_digits, numeric.fraction_digits):
+        for c in (F.col("c"), X.col("c")):
+            rows = df.select("c", count(c).alias("a"), count(F.concat(F.lit(" "), F.col("c"))).alias("b")).collect()
+            assert [r for r in rows if r.a != r.b] == [] and {r.c: r.a for r in rows}["-120.40"] == (4 if count is numeric.total_digits else 1)
+    text = df.select(numeric.total_digits(X.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN RLIKE(c" in text and text.index("CASE WHEN RLIKE(c") < text.index("lambda")

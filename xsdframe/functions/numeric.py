@@ -94,17 +94,25 @@ def in_range(c: Column, low: int | None, high: int | None) -> tuple[Column | Non
     return least, most
 
 
+#: Decimals without white space, plus signs and leading zeros. Their digits are counted without
+#: taking them apart, which binds names and so is interpreted.
+USUAL = r"-?[1-9][0-9]*(?:\.[0-9]+)?"
+
+
 def total_digits(c: Column) -> Column:
     """How many digits a decimal lexical has: trailing zeros of an integer count, leading
     zeros do not, nor do zeros between the point and the first digit of a pure fraction."""
     pure = lambda p: F.greatest(F.length(F.regexp_replace(p["fraction"], r"\A0+", "")), F.lit(1))
     count = lambda p: F.when(p["whole"] == "", pure(p)).otherwise(F.length(p["whole"]) + F.length(p["fraction"]))
-    return let(_parts(c), lambda p: F.when(p.isNotNull(), count(p)))
+    pointed = F.length(F.regexp_replace(c, r"\A-|0+\z", "")) - 1
+    usual = F.when(F.instr(c, ".") > 0, pointed).otherwise(F.length(F.regexp_replace(c, r"\A-", "")))
+    return F.when(full(c, USUAL), usual).otherwise(let(_parts(c), lambda p: F.when(p.isNotNull(), count(p))))
 
 
 def fraction_digits(c: Column) -> Column:
     """Digits after the point, without trailing zeros."""
-    return let(_parts(c), lambda p: F.length(p["fraction"]))
+    usual = F.when(F.instr(c, ".") > 0, F.length(F.regexp_replace(c, r"0+\z", "")) - F.instr(c, ".")).otherwise(0)
+    return F.when(full(c, USUAL), usual).otherwise(let(_parts(c), lambda p: F.length(p["fraction"])))
 
 
 def has_total_digits(c: Column, most: int) -> Column:
